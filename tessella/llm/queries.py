@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, quality_rules, secrets, spans, suffix_dedup
+from . import decontam, jaccard, licenses, quality, quality_rules, secrets, spans, suffix_dedup, toxicity
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), length=400, keep_first=False)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
@@ -37,6 +41,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"), threshold=0.8, n=5, target_recall=0.999)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -61,10 +69,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_license_scan": op3_license_scan,
         "op4_secret_scan": op4_secret_scan,
         "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_toxicity": op6_toxicity,
         "op9_decontamination": op9_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }
