@@ -215,13 +215,8 @@ def _covered(hits: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, reach: int | None = None, block_words: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, items, near) of every document; ``items`` and ``near`` are sorted item ids."""
     source = docs.select(F.xxhash64(doc_id, text).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
-    blocks = max(1, -(-words // block_words))
-    passes = []
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        passes.append(source.mapInArrow(_search([(r.item_id, r.text) for r in block], window, reach), SCHEMA))
+    passes = [source.mapInArrow(_search(block, window, reach), SCHEMA) for block in _blocks(benchmark, block_words)]
+    blocks = len(passes)
     if blocks == 1:
         found = passes[0]
     else:  # equal rows meet again under their key, so their number is kept
@@ -238,7 +233,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, reach
     return found.select("doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), "items", "near")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that hold no window of any item, with all their columns."""
-    bad = contamination(docs, benchmark, window, doc_id=doc_id, text=text).where("n_hit > 0").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def _without(items: list[tuple[str, str]], window: int, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = Queries(items, window)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for lo, _, data, offsets in tk.pieces(batch.column(column).cast(pa.string()), PIECE):
+                _, _, hashes, first = tk.tokens(data, offsets)
+                segment = Segment(queries.term_ids(hashes), first, len(queries.vocabulary))
+                for w in queries.windows.values():
+                    keep[lo + segment.document(segment.phrases(w)[1])] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks of about ``block_words`` words, by hash of the item."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
+    words = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
+    blocks = max(1, -(-words // block_words))
+    for b in range(blocks):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that hold no window of any item, with all their columns and without a shuffle."""
+    for block in _blocks(benchmark, block_words):
+        docs = docs.mapInArrow(_without(block, window, docs.columns.index(text)), docs.schema)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, quality, quality_rules, secrets, spans, suffix_dedup, toxicity
+from . import decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, spans, suffix_dedup, toxicity
 from .common import table
 
 
@@ -45,6 +45,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), entropy_share=0.95, max_repeats=4.0)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    f = F.col("spans")
+    base = spans.joined(spans.of_kind(f, *pii.BASE_KINDS), pii.KINDS)
+    return found.select(
+        "doc_id",
+        *[spans.count_of(f, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        spans.joined(f, pii.KINDS).alias("spans"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -75,6 +91,8 @@ def queries() -> dict:
         "op4_secret_scan": op4_secret_scan,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_toxicity": op6_toxicity,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_quality_rules": op10_quality_rules,
     }

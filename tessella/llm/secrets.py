@@ -74,6 +74,16 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_
     return paths.join(known.select("blob", "findings"), "blob"), new
 
 
+def masked(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """All rows of ``docs`` with every finding in their text masked; other columns stay as they are."""
+    _, new = findings(docs, ledger, path, text)
+    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).select(*new.columns).unionByName(new)
+    found = known.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    joined = docs.withColumn("_sha", F.sha2(whole(text), 256)).join(found, F.col("_sha") == F.col("_blob"), "left")
+    changed = F.when(F.col("_findings").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_findings"), mask))
+    return joined.select(*[changed.alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
 def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with every span of ``found`` (code points, any order, overlaps allowed) replaced by ``mask``."""
     ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))))

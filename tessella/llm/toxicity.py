@@ -122,7 +122,7 @@ def _measured(lexicon: Lexicon, column: int):
             rows = [measures(machine, t.as_py()) for t in batch.column(column)]
             rest = [i for i in range(batch.num_columns) if i != column]
             z = [pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *z], names=[*[batch.schema.names[i] for i in rest], "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *z], names=[*[batch.schema.names[i] for i in rest], "_a", "_b", "_c"])
 
     return run
 
@@ -144,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     negative = sample.mapInArrow(_counted(0, frozenset(in_toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     in_clean = {r["term"]: r["n"] for r in negative.collect()}
     lexicon = Lexicon(chosen(in_toxic, in_clean, n1, n0, odds))
-    z = sample.mapInArrow(_measured(lexicon, 0), "y int, a double, b double, c double").toPandas()  # at most max_rows rows
-    lexicon.beta = logistic(z[["a", "b", "c"]].to_numpy(), z["y"].to_numpy(dtype=float))
+    z = sample.mapInArrow(_measured(lexicon, 0), "y int, _a double, _b double, _c double").toPandas()  # at most max_rows rows
+    lexicon.beta = logistic(z[["_a", "_b", "_c"]].to_numpy(), z["y"].to_numpy(dtype=float))
     return lexicon
 
 
@@ -184,12 +184,18 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, and ``score``."""
     rest = [c for c in docs.columns if c != text]
     source = docs.select(F.col(text).cast("string").alias("_text"), *rest)
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]], "a double", "b double", "c double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]], "_a double", "_b double", "_c double"])
     b = lexicon.beta
-    logit = b[0] * F.col("a") + b[1] * F.col("b") + b[2] * F.col("c") + b[3]
+    logit = b[0] * F.col("_a") + b[1] * F.col("_b") + b[2] * F.col("_c") + b[3]
     return source.mapInArrow(_measured(lexicon, 0), schema).select(*rest, (1 / (1 + F.exp(-logit))).alias("score"))
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """Rows whose score is below ``limit``, with all their columns."""
+    doubled = docs.withColumn("_scored_text", F.col(text))
+    return score(doubled, lexicon, "_scored_text").where(F.col("score") < limit).select(*docs.columns)
+
+
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 5, held_out: int = 0, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     lexicon = train(docs, labels, doc_id=doc_id, text=text, modulus=modulus, held_out=held_out, **options)
