@@ -1,11 +1,14 @@
-"""Registry of named queries and their SQL twins."""
+"""All named queries and their SQL twins."""
 
 from __future__ import annotations
 
+from . import change_queries, flow_queries, graph_queries, rule_queries, task_queries, text_queries, view_queries  # noqa: F401
+from .registry import as_callables, as_sql
+
 
 def queries() -> dict:
-    return {}
+    return as_callables()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return as_sql()
