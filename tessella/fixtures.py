@@ -6,11 +6,13 @@ not the projection, are what is compared.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.lineage import cut
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
 #: Common table expressions by name, in dependency order. {x} stands for a table.
@@ -74,28 +76,27 @@ def _with(names: dict[str, str]) -> str:
 ORACLE_HEAD = "WITH RECURSIVE " + _with({t: t for t in TABLES})
 
 
-@dataclass
+#: Relations that are written once for each fixture; the others are views over them and the tables.
+STORED = ("nodes", "edges")
+
+
 class Fixture:
-    """Relations by name, each a lazy DataFrame with ``model`` = 'main'."""
+    """Relations by name with ``model`` = 'main', as if read from stored model tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+        self._known: dict[str, DataFrame] = {}
 
-    spark: SparkSession
-    sf_dir: str
+    def _source(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else self[name].drop("model")
 
     def __getitem__(self, name: str) -> DataFrame:
-        tables = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES}
-        needed: list[str] = []
-
-        def need(x: str) -> None:
-            for other in PROJECTION:
-                if other != x and f" {other}" in PROJECTION[x].replace("\n", " ") and any(f"{w} {other}" in PROJECTION[x] for w in ("FROM", "JOIN")):
-                    need(other)
-            if x not in needed:
-                needed.append(x)
-
-        need(name)
-        body = ",\n".join(f"{n} AS ({PROJECTION[n]})" for n in needed)
-        used = {t: df for t, df in tables.items() if f"{{{t}}}" in body}
-        return self.spark.sql(f"WITH {body} SELECT * FROM {name}", **used).withColumn("model", F.lit("main"))
+        if name not in self._known:
+            text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(PROJECTION)})\b", r"\1 {\2}", PROJECTION[name])
+            sources = {t: self._source(t) for t in dict.fromkeys(re.findall(r"{(\w+)}", text))}
+            rows = self.spark.sql(text, **sources).withColumn("model", F.lit("main"))
+            self._known[name] = cut(rows) if name in STORED else rows
+        return self._known[name]
 
 
 #: (name, path) pairs for the file classifier.
