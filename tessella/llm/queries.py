@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, spans, suffix_dedup, toxicity
+from . import decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, spans, suffix_dedup, toxicity, twins
 from .common import table
 
 
@@ -99,4 +99,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.oracle_sql()

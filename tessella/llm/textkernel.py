@@ -117,10 +117,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> list[np.ndarr
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            short = U64(b - a)
+            short = np.array([b - a], dtype=U64)
             for h in hashes[a:b]:
                 short = short * BASE + h
-            out.append(mix(np.array([short], dtype=U64)))
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, dtype=U64))
     return out
