@@ -52,19 +52,15 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _only(found: Column, holds) -> Column:
-    return F.filter(found, lambda s: holds(s["value"]))
-
-
 def base_spans(text: Column) -> Column:
     """Checked spans; a failed match is dropped and not retried inside."""
     octet = lambda part: F.coalesce(part.try_cast("bigint") <= 255, F.lit(False))
     digits = lambda v: F.length(_digits(v))
     return F.concat(
         F.when(F.contains(text, F.lit("@")), spans.matches(text, "email", EMAIL)).otherwise(F.array().cast(spans.SPAN)),
-        _only(spans.matches(text, "ip", IP), lambda v: F.forall(F.split(v, "\\."), octet)),
-        _only(spans.matches(text, "card", CARD), lambda v: digits(v).between(14, 19) & luhn(_digits(v))),
-        _only(spans.matches(text, "phone", PHONE), lambda v: digits(v).between(10, 15)),
+        spans.matches(text, "ip", IP, lambda v: F.forall(F.split(v, "\\."), octet)),
+        spans.matches(text, "card", CARD, lambda v: (F.length(v) >= 14) & digits(v).between(14, 19) & luhn(_digits(v))),
+        spans.matches(text, "phone", PHONE, lambda v: digits(v).between(10, 15)),
     )
 
 

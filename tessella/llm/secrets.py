@@ -30,7 +30,7 @@ FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 
 def scan(text: Column) -> Column:
     """All findings of one text. A failed assignment is dropped and not retried inside."""
-    assign = F.filter(spans.matches(text, "assign", ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 8)
+    assign = spans.matches(text, "assign", ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 8)
     found = F.concat(
         assign,
         spans.matches(text, "access", ACCESS),

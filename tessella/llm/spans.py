@@ -6,14 +6,20 @@ matches; their lengths, added up in turn, give offsets in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as an array of (kind, start, end, value)."""
+def matches(text: Column, kind: str, pattern: str, holds: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches of ``pattern`` as an array of (kind, start, end, value).
+
+    A match whose value fails ``holds`` is dropped while the text is walked, so
+    that a long text with many such matches costs no more than its length.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     empty = F.array().cast(SPAN)
@@ -22,25 +28,16 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         values,
         lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value")),
     )
-    walked = F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        F.lit(kind).alias("kind"),
-                        (a["at"] + x["gap"]).alias("start"),
-                        (a["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                        x["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def walk(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
+        more = F.concat(a["out"], F.array(span))
+        kept = more if holds is None else F.when(F.coalesce(holds(x["value"]), F.lit(False)), more).otherwise(a["out"])
+        return F.struct(end.alias("at"), kept.alias("out"))
+
+    walked = F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("out")), walk, lambda a: a["out"])
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
