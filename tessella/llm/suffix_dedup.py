@@ -300,6 +300,8 @@ def repeated_windows(docs: DataFrame, length: int = 400, doc_id: str = "doc_id",
         (F.col("copies") > 1).alias("all"),
         F.col("later" if keep_first else "repeated").alias("part"),
     )
+    # written, so that the join deals both sides anew and a run of many copies can be split
+    known = written(known.where(F.col("all") | (F.size("part") > 0)), "known")
     joined = runs.join(known, ["v", "f"])
     here = F.struct("doc_id", "anchor", "lo", "hi")
     whole_run = F.array(F.struct((F.col("anchor") - F.col("hi")).alias("a"), (F.col("anchor") - F.col("lo")).alias("b")))
