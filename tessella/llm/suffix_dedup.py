@@ -48,6 +48,7 @@ def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
     """(anchor, first window, last window, anchor hash, run hash) of the runs of one text of at least ``length`` bytes."""
     sums = tk.prefix(data)
     n = len(data)
+    gram = min(gram, (length + 1) // 2)
     at = np.arange(n - gram + 1)
     hashes = tk.span_hashes(sums, at, at + gram)
     w = length - gram + 1
