@@ -40,7 +40,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Toxicity, near duplicates and mixing can't be said in SQL; tests/llm holds the brute-force twin.
+#: Toxicity, near duplicates and mixing can't be said in SQL.
 ORACLE_SQL = None
 
 
