@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_catalog
 from .common import whole
 
 # Equivalent spellings, each with the form that stands for it.
@@ -61,6 +62,8 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    *license_catalog.whole_texts({"MIT": MIT, "ISC": ISC}),
+    *license_catalog.notices(),
 )
 
 
