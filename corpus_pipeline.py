@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_per_class(docs, jaccard.similarity_classes(docs, threshold=0.8, n=5, target_recall=0.999))
+    return jaccard.one_per_class(docs, jaccard.document_classes(docs, threshold=0.8, n=5, target_recall=0.999))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

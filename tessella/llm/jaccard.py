@@ -14,7 +14,10 @@
 
 Null and empty texts have no n-grams: each is its own class with no links.
 Exact copies count as links. Ties take the smaller id. ``id`` must be an
-integer without nulls; rows that repeat an id are taken as one document.
+integer. A document is a pair of id and text: rows that repeat both are one
+document, and one id on two texts is two. Rows without an id are a document
+each; they come last in ties, and a class of such rows only has no id.
+Where ids are missing or repeat, documents get keys in the order of their ids.
 """
 
 from __future__ import annotations
@@ -71,8 +74,8 @@ def _signatures(bands: int, rows: int, n: int):
                         least = np.minimum(least, hashed.min(axis=1, keepdims=True))
                     out.append(tk.mix((least.reshape(bands, rows).astype(tk.U64) * weight).sum(axis=1)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
-                names=["id", "n", "f1", "f2", "bands"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int32()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                names=["id", "h", "n", "f1", "f2", "bands"],
             )
 
     return run
@@ -176,15 +179,34 @@ def _verify(threshold: float):
 
 def similarity_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5, target_recall: float = 0.999, most_hashes: int = 256) -> DataFrame:
     """(id, class_id, n_links) of every document."""
+    return document_classes(docs, id, text, threshold, n, target_recall, most_hashes).select(
+        F.col("id").alias(id), F.col("first.id").alias("class_id"), "n_links"
+    )
+
+
+def document_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, n: int = 5, target_recall: float = 0.999, most_hashes: int = 256) -> DataFrame:
+    """(id, h, n, n_links, first, own) of every document: hash of the text, size of its set, links, id and hash of the first document of its class, and whether that is itself."""
     bands, rows = choose_bands(threshold, target_recall, most_hashes)
-    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     signed = written(
-        source.mapInArrow(_signatures(bands, rows, n), "id long, n int, f1 long, f2 long, bands array<long>"), "signatures"
+        source.select("id", "text", "h").mapInArrow(_signatures(bands, rows, n), "id long, h long, n int, f1 long, f2 long, bands array<long>"), "signatures"
     )
-    sets = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
+    keys = None
+    if not _own_ids(signed):
+        counted = signed.groupBy("id", "h").agg(F.count("*").alias("times"))
+        keys = written(counted.orderBy(F.col("id").asc_nulls_last(), "h").withColumn("key", F.monotonically_increasing_id()), "keys")
+        k = keys.withColumnsRenamed({"id": "doc", "h": "hash"})
+        same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash"))
+        once = signed.groupBy("id", "h").agg(*[F.first(c).alias(c) for c in ("n", "f1", "f2", "bands")])
+        signed = written(
+            once.join(k, same).select(F.col("key").alias("id"), "n", "f1", "f2", "bands", F.when(F.col("doc").isNull(), F.col("times")).otherwise(1).alias("rows")), "signatures"
+        )
+    else:
+        signed = signed.withColumn("rows", F.lit(1))
+    sets = signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.sum("rows").alias("copies"))
     sets = cut(sets)
     of_rep = signed.where("n > 0").join(sets.select("rep", "copies"), F.col("id") == F.col("rep"), "left_semi")
-    banded = of_rep.dropDuplicates(["id"]).select("id", F.posexplode("bands").alias("band", "h"))
+    banded = of_rep.select("id", F.posexplode("bands").alias("band", "h"))
     # stars: in each bucket the smallest id, then an edge from every other member to it
     least = banded.groupBy("band", "h").agg(F.min("id").alias("low"), F.count("*").alias("members")).where("members > 1")
     stars = banded.join(least, ["band", "h"]).where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
@@ -196,8 +218,12 @@ def similarity_classes(docs: DataFrame, id: str = "doc_id", text: str = "text",
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
-    with_text = source.dropDuplicates(["id"]) if _repeats(signed) else source
-    texts = with_text.join(members.withColumnRenamed("node", "id"), "id").select("text", "component", "blocks", "block", "id", "copies")
+    if keys is None:
+        with_text = source.join(members.withColumnRenamed("node", "id"), "id")
+    else:
+        wanted = members.join(k.withColumnRenamed("key", "node"), "node")
+        with_text = source.join(wanted, same).drop("id").withColumnRenamed("node", "id").dropDuplicates(["id"])
+    texts = with_text.select("text", "component", "blocks", "block", "id", "copies")
     grams = texts.mapInArrow(_sets(n), "grams binary, component long, blocks int, block int, id long, copies long")
     paired = (
         grams.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -223,18 +249,43 @@ def similarity_classes(docs: DataFrame, id: str = "doc_id", text: str = "text",
         .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .select("f1", "f2", "n", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    ids = signed.select("id", "f1", "f2", "n").distinct()
-    return ids.join(named, ["f1", "f2", "n"], "left").select(
-        F.col("id").alias(id), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    if keys is None:
+        ids = signed.select("id", "h", "f1", "f2", "n")
+        first = F.struct(F.coalesce("class_id", "id").alias("id"))
+        own = F.coalesce("class_id", "id") == F.col("id")
+    else:
+        ids = signed.select("id", "f1", "f2", "n")
+    found = ids.join(named, ["f1", "f2", "n"], "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    if keys is None:
+        return found.select("id", "h", "n", "n_links", first.alias("first"), own.alias("own"))
+    first = keys.select(F.col("key").alias("class_id"), F.struct("id", "h").alias("first"))
+    return (
+        found.withColumn("class_id", F.coalesce("class_id", "id"))
+        .join(first, "class_id")
+        .join(k, F.col("id") == F.col("key"))
+        .withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("doc").isNull(), F.col("times")).otherwise(1))))
+        .select(F.col("doc").alias("id"), F.col("hash").alias("h"), "n", "n_links", "first", (F.col("id") == F.col("class_id")).alias("own"))
     )
 
 
-def _repeats(signed: DataFrame) -> bool:
-    total, distinct = signed.agg(F.count("id"), F.count_distinct("id")).first()
-    return total != distinct
+def _own_ids(signed: DataFrame) -> bool:
+    total, distinct = signed.agg(F.count("*"), F.count_distinct("id")).first()
+    return total == distinct
+
 
+def one_per_class(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of :func:`document_classes`: of its first document; of rows that repeat that, the one with the smallest hash.
 
-def one_per_class(docs: DataFrame, classes: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Documents whose id is that of their class; the id of a class is its smallest document."""
-    keep = classes.where(F.col(id) == F.col("class_id")).select(id)
-    return docs.join(keep, id, "left_semi")
+    Rows without an id and without words are each a class.
+    """
+    mine = F.col(id).cast("long")
+    owners = classes.where("own")
+    if _own_ids(docs.select(F.col(id).alias("id"))):
+        return docs.join(owners.select(F.col("id").alias("_id")), mine == F.col("_id"), "left_semi")
+    keep = owners.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg((F.col("_id").isNull() & (F.max("n") == 0)).alias("_all"))
+    same = mine.eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_h"))
+    kept = docs.join(keep, same)
+    row = F.struct(*docs.columns).alias("_row")
+    every = kept.where("_all").select(*docs.columns)
+    single = kept.where("not _all").select("_id", "_h", row, F.xxhash64(*docs.columns).alias("_order"))
+    return every.unionByName(single.groupBy("_id", "_h").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))

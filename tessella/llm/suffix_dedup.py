@@ -22,9 +22,10 @@ depth and only where something repeats, so it is built in buckets:
    windows are hashed (128 bits) and counted by aggregation, which gives the
    same answer for hot buckets in any number of tasks.
 
-Matches never cross documents. Null texts are empty. Documents need a unique
-non-null integer id; other columns are not read. Texts shorter than ``length``
-are returned unchanged.
+Matches never cross documents. Null texts are empty. Every row is a document
+of its own, with an integer id; where ids are missing or repeat, rows get keys in
+the order of their ids, those without one last. Other columns are not read.
+Texts shorter than ``length`` are returned unchanged.
 """
 
 from __future__ import annotations
@@ -257,6 +258,16 @@ def _ranges(offsets) -> F.Column:
     return F.sort_array(F.concat(opens, closes))
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, doc_id, text): the key is the id where ids are unique, and else a number that is written once."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    total, distinct = source.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if total == distinct:
+        return source.withColumn("key", F.col("doc_id"))
+    ordered = source.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return written(ordered.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def repeated_windows(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", most: int = 20_000, keep_first: bool = False) -> DataFrame:
     """(doc_id, starts): window starts as [first, last] pairs of those that repeat, or with ``keep_first`` of those that have an earlier match."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
@@ -354,9 +365,9 @@ def deduplicated(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", tex
 
     With ``keep_first`` only later copies go; without, every copy does.
     """
-    starts = repeated_windows(docs, length, doc_id, text, most, keep_first)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    return source.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    source = _keyed(docs, doc_id, text)
+    starts = repeated_windows(source, length, "key", "text", most, keep_first).withColumnRenamed("doc_id", "key")
+    return source.join(starts, "key", "left").select("doc_id", "text", "starts").mapInArrow(
         _cut_out(length), "doc_id long, n_bytes long, removed array<array<int>>, kept binary"
     )
 
