@@ -65,11 +65,15 @@ class Lexicon:
     beta: tuple[float, float, float, float] = (0.0, 0.0, 0.0, -30.0)
 
     def automaton(self):
-        machine = ahocorasick.Automaton()
+        # a beginning and a whole word can be of one spelling
+        entries: dict[str, list[tuple[int, float | None, bool]]] = {}
         for term, weight in self.weights.items():
-            machine.add_word(term.rstrip(" "), (len(term.rstrip(" ")), weight, term.endswith(" ")))
+            entries.setdefault(term.rstrip(" "), []).append((len(term.rstrip(" ")), weight, term.endswith(" ")))
         for phrase in self.exceptions:
-            machine.add_word(folded(phrase) + " ", (len(folded(phrase)), None, True))
+            entries.setdefault(folded(phrase) + " ", []).append((len(folded(phrase)), None, True))
+        machine = ahocorasick.Automaton()
+        for spelling, found in entries.items():
+            machine.add_word(spelling, found)
         if len(machine):
             machine.make_automaton()
         return machine
@@ -82,7 +86,7 @@ def measures(machine, text: str | None) -> tuple[float, float, float]:
     t = folded(text) + " "
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for at, (n, weight, word) in machine.iter(t):
+    for at, n, weight, word in ((at, *entry) for at, found in machine.iter(t) for entry in found):
         if weight is None:
             spared.append((at - n, at))
             continue
