@@ -100,13 +100,17 @@ def fit(cells: list[tuple[dict[str, str], int, int]], rounds: int = 20, rate: fl
 
 
 def threshold(scored: list[tuple[float, int, int]], precision: float) -> float:
-    """The lowest score from which on the share of positives is at least ``precision``; infinity if there is none."""
+    """The lowest score from which on the share of positives is at least ``precision``, or infinity.
+
+    Scores are those of cells, so the threshold lies half way to the next lower
+    one; cells that the examples lack then fall to the side they are nearer to.
+    """
     a = b = 0
-    out = math.inf
+    last, out = math.inf, math.inf
     ordered = sorted(scored, reverse=True)
     for k, (z, pos, neg) in enumerate(ordered):
         a, b = a + pos, b + neg
-        last = k + 1 == len(ordered) or ordered[k + 1][0] < z
-        if last and a >= precision * (a + b) and a:
-            out = z
-    return out
+        lower = ordered[k + 1][0] if k + 1 < len(ordered) else z
+        if a and a >= precision * (a + b) and (lower < z or k + 1 == len(ordered)):
+            last, out = z, (z + lower) / 2
+    return min(last, out)

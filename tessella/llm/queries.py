@@ -58,6 +58,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[spans.count_of(f, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(base, 256).alias("base_sha256"),
         spans.joined(f, pii.KINDS).alias("spans"),
+        F.size(f).cast("long").alias("n_spans"),
     )
 
 

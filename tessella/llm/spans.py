@@ -1,44 +1,73 @@
 """Spans of regular-expression matches as SQL expressions, without Python code.
 
 ``split`` yields the pieces between matches and ``regexp_extract_all`` the
-matches; their lengths, added up in turn, give offsets in code points.
+matches; their lengths, added up in turn, give offsets in code points. The
+expressions are written as SQL text: they are large, and building them out of
+columns costs seconds on the driver.
+
+Patterns must hold no group under a greedy or lazy quantifier: Java's engine
+calls itself once per repeat of such a group and overflows the stack on long
+texts. A possessive quantifier (``(?:...)++``) loops instead, and matches the
+same text wherever nothing that follows could make the loop give something back.
+A pattern that scans a run of characters before it can fail should start at the
+run's beginning or where the match before ended (``\\G``), so that every
+character is looked at a bounded number of times.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: As ``SPAN``, with what stands before (at most ``CONTEXT`` characters) and after (at most one), up to the neighbouring matches.
+FRAMED = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
+CONTEXT = 24
+#: Matches that are walked at a time.
+CHUNK = 128
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the value of an expression, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def matches(text: Column, kind: str, pattern: str, holds: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as an array of (kind, start, end, value).
+def matches(text: str, kind: str, pattern: str, holds: str | None = None, framed: bool = False) -> str:
+    """SQL for the leftmost non-overlapping matches of ``pattern`` as an array of (kind, start, end, value), or with ``framed`` with their surroundings.
 
-    A match whose value fails ``holds`` is dropped while the text is walked, so
-    that a long text with many such matches costs no more than its length.
+    A match is dropped where ``holds``, a condition on ``v``, is not true. An
+    array is copied when a span is appended to it, so the matches are walked in
+    chunks and the chunks are joined at the end: a text of many matches costs
+    about its length.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.array().cast(SPAN)
-    step = F.zip_with(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        values,
-        lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value")),
-    )
-
-    def walk(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        more = F.concat(a["out"], F.array(span))
-        kept = more if holds is None else F.when(F.coalesce(holds(x["value"]), F.lit(False)), more).otherwise(a["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
-
-    walked = F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("out")), walk, lambda a: a["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    array, p = (FRAMED if framed else SPAN), quoted(pattern)
+    before = f", 'before', right(p, {CONTEXT})" if framed else ""
+    # the last piece has no match behind it
+    step = f"zip_with(slice(pieces, 1, greatest(size(pieces) - 1, 0)), regexp_extract_all({text}, {p}, 0), (p, v) -> named_struct('gap', length(p), 'value', v{before}))"
+    if framed:
+        step = f"zip_with({step}, slice(pieces, 2, size(pieces)), (x, p) -> named_struct('gap', x.gap, 'value', x.value, 'before', x.before, 'after', left(p, 1)))"
+    step = let(f"split({text}, {p}, -1)", "pieces", step)
+    frame = ", 'before', x.before, 'after', x.after" if framed else ""
+    span = f"named_struct('kind', '{kind}', 'start', a.at + x.gap, 'end', a.at + x.gap + length(x.value), 'value', x.value{frame})"
+    out = f"concat(a.out, array({span}))"
+    if holds is not None:
+        out = f"CASE WHEN {let('x.value', 'v', holds)} THEN {out} ELSE a.out END"
+    walk = f"named_struct('at', a.at + x.gap + length(x.value), 'out', {out})"
+    own = f"aggregate(chunk, named_struct('at', w.at, 'out', CAST(array() AS {array})), (a, x) -> {walk})"
+    joined = let(own, "own", "named_struct('at', own.at, 'out', concat(w.out, array(own.out)))")
+    start = f"named_struct('at', 0, 'out', CAST(array() AS array<{array}>))"
+    walked = f"aggregate({chunks(step, CHUNK)}, {start}, (w, chunk) -> {joined}, w -> flatten(w.out))"
+    return f"CASE WHEN {text} RLIKE {p} THEN {walked} ELSE CAST(array() AS {array}) END"
+
+
+def chunks(array: str, size: int) -> str:
+    """SQL for an array cut into arrays of ``size`` elements; the last may be shorter."""
+    return let(array, "whole", f"CASE WHEN size(whole) > 0 THEN transform(sequence(1, size(whole), {size}), at -> slice(whole, at, {size})) ELSE array(whole) END")
 
 
 def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
