@@ -77,11 +77,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = [r for r, _, _ in quality_rules.plan_cascade(docs, quality_rules.default_rules())]
-    judged = quality_rules.verdicts(docs, rules)
+    # the contract asks for these of every row; the cascade's other statistics stop where a rule rejects
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality_rules.verdicts(docs, rules, always=asked)
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept"
-    )
+    return judged.select("doc_id", *asked, base_failed.alias("base_failed"), "kept")
 
 
 def queries() -> dict:

@@ -23,13 +23,15 @@ WITH docs AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(n, 0)::BIGINT AS n_repeat_words
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_distinct(words)) AS n_distinct,
+    length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
   FROM cut LEFT JOIN covered USING (k)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * word_chars
-    OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
+    OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
+    OR (n_words >= 50 AND 20 * n_distinct < n_words) OR (n_letters >= 20 AND 2 * n_capitals > n_letters)) AS kept
 FROM facts
 """
 

@@ -33,9 +33,9 @@ def texts():
 def test_statistics_and_verdicts(spark):
     rows = texts()
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_lines int")
-    rules = [r for r, _, _ in qr.plan_cascade(df, qr.default_rules(), fraction=0.5)]
+    rules = [r for r, _, _ in qr.plan_cascade(df, qr.default_rules(), sample_rows=150)]
     assert sorted(r.name for r in rules) == sorted(r.name for r in qr.default_rules())
-    got = {r.doc_id: r for r in qr.verdicts(df, rules).collect()}
+    got = {r.doc_id: r for r in qr.verdicts(df, rules, always=tuple(brute(""))).collect()}
     for i, t in rows:
         want = brute(t)
         assert {k: got[i][k] for k in want} == want, repr(t)
@@ -47,6 +47,26 @@ def test_statistics_and_verdicts(spark):
     assert qr.surviving(df, rules).columns == df.columns
 
 
+def test_a_rejection_stops_the_cascade(spark):
+    """In any order the same rows stay, and statistics behind the rejecting rule are not computed."""
+    df = spark.createDataFrame(texts(), "doc_id long, text string")
+    for rules in (qr.default_rules(), qr.default_rules()[::-1]):
+        for r in qr.verdicts(df, rules).collect():
+            known = True
+            for rule in rules:
+                own = [s for s in rule.needs if sum(s in other.needs for other in rules) == 1]
+                assert all((r[s] is not None) == known for s in own), (r, rule.name)
+                known = known and rule.name != r.failed_rule
+            assert r.kept == (r.failed_rule is None)
+
+
+def test_cascade_order_follows_rejections_per_second(spark):
+    df = spark.createDataFrame([(i, "word " * (4 if i % 2 else 400)) for i in range(400)], "doc_id long, text string")
+    measured = qr.plan_cascade(df, qr.default_rules()[:1] + qr.default_rules()[2:4])
+    rates = [share / seconds for _, share, seconds in measured]
+    assert rates == sorted(rates, reverse=True) and measured[0][0].name == "too_few_words"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     rules = [r for r, _, _ in qr.plan_cascade(df, qr.default_rules())]
