@@ -56,10 +56,28 @@ WITH words AS (
   SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT k, i, n FROM found)) GROUP BY k
 ), named AS (
   SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, id FROM found) GROUP BY k
+), wins AS (
+  SELECT row_number() OVER () AS wid, * FROM (
+    SELECT DISTINCT id, w[i:i + n - 1] AS ws
+    FROM (SELECT id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM cut WHERE side = 'item' AND len(w) > 0))
+), terms AS (
+  SELECT DISTINCT wid, unnest(ws) AS t FROM wins
+), anchors AS (
+  SELECT wid, first(t ORDER BY strlen(t) DESC, t) AS t, count(*) AS n_terms FROM terms GROUP BY wid
+), places AS (
+  SELECT k, p, t FROM (SELECT k, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM cut WHERE side = 'doc') SEMI JOIN terms USING (t)
+), around AS (
+  SELECT a.wid, p.k, p.p, a.n_terms FROM anchors a JOIN places p USING (t)
+), near AS (
+  SELECT DISTINCT k, id FROM wins JOIN (
+    SELECT r.wid, r.k FROM around r JOIN terms x USING (wid) JOIN places s ON s.k = r.k AND s.t = x.t AND s.p BETWEEN r.p - 16 AND r.p + 16
+    GROUP BY r.wid, r.k, r.p, r.n_terms HAVING count(DISTINCT x.t) = r.n_terms) USING (wid)
+), near_named AS (
+  SELECT k, string_agg(id, ',' ORDER BY id) AS near_ids FROM near GROUP BY k
 )
 SELECT id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM cut LEFT JOIN hit USING (k) LEFT JOIN named USING (k) WHERE side = 'doc'
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_ids, '') AS near_items
+FROM cut LEFT JOIN hit USING (k) LEFT JOIN named USING (k) LEFT JOIN near_named USING (k) WHERE side = 'doc'
 """
 
 

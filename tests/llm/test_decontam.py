@@ -46,15 +46,32 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("block_words,piece", [(1_000_000, 1 << 22), (40, 1 << 22), (1_000_000, 200)])
-def test_against_brute_force(spark, monkeypatch, block_words, piece):
+def brute_near(docs, items, reach, window=10):
+    out = {}
+    for d, t in docs:
+        w, found = words(t), set()
+        for i, x in items:
+            q = words(x)
+            n = min(window, len(q))
+            for s in range(len(q) - n + 1) if n else ():
+                own = q[s : s + n]
+                far = min(own, key=lambda v: (-len(v.encode()), v.encode()))
+                if any(set(own) <= set(w[max(0, a - reach) : a + reach + 1]) for a, v in enumerate(w) if v == far):
+                    found.add(str(i))
+        out[d] = sorted(found)
+    return out
+
+
+@pytest.mark.parametrize("block_windows,piece", [(200_000, 1 << 20), (7, 1 << 20), (200_000, 200)])
+def test_against_brute_force(spark, monkeypatch, block_windows, piece):
     monkeypatch.setattr(decontam, "PIECE", piece)
     docs, items = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in decontam.contamination(df, bench, block_words=block_words).collect()}
-    assert got == brute(docs, items)
-    kept = {r.doc_id for r in decontam.clean(df, bench).collect()}
+    rows = decontam.contamination(df, bench, reach=8, block_windows=block_windows).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in rows} == brute(docs, items)
+    assert {r.doc_id: list(r.near) for r in rows} == brute_near(docs, items, 8)
+    kept = {r.doc_id for r in decontam.clean(df, bench, block_windows=block_windows).collect()}
     assert kept == {d for d, x in brute(docs, items).items() if x[1] == 0}
 
 
@@ -66,6 +83,16 @@ def test_proximity(spark):
     assert got == {1: (0, ["p"]), 2: (0, []), 3: (4, ["p"])}
 
 
+def test_an_index_serves_any_benchmark_and_blocks_split_an_item(spark):
+    """The stored postings are searched again without the texts; one long item is spread over several passes."""
+    text = " ".join(f"w{k}" for k in range(500))
+    postings = decontam.index(spark.createDataFrame([(1, text), (1, text), (None, "x"), (2, "w1 w2 w3")], "doc_id long, text string"))
+    long_item = spark.createDataFrame([("a", " ".join(f"w{k}" for k in range(100, 400))), ("b", "w2 w3")], "item_id string, text string")
+    cut = decontam.windows(long_item)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.search(postings, cut, block_windows=40).collect())
+    assert got == [(0, 1, 0, ()), (1, 500, 302, ("a", "b")), (1, 500, 302, ("a", "b")), (2, 3, 2, ("b",))]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, n_words int")
     none = spark.createDataFrame([], "item_id long, text string")
