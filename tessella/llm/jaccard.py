@@ -34,7 +34,9 @@ from . import textkernel as tk
 from .common import cut, written
 from .components import connected_components
 
-BLOCK = 512
+BLOCK = 256
+#: Parts in which the members of a candidate group meet its size.
+SALTS = 16
 
 
 def choose_bands(threshold: float = 0.8, target_recall: float = 0.999, most_hashes: int = 256) -> tuple[int, int]:
@@ -211,9 +213,12 @@ def document_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     least = banded.groupBy("band", "h").agg(F.min("id").alias("low"), F.count("*").alias("members")).where("members > 1")
     stars = banded.join(least, ["band", "h"]).where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     groups = connected_components(stars)
-    sized = groups.groupBy("component").agg(F.count("*").alias("size"))
+    # a large group is spread over tasks, not read by one
+    sized = groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = (
-        groups.join(sized, "component")
+        groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        .join(sized, ["component", "salt"])
+        .drop("salt")
         .join(sets.select(F.col("rep").alias("node"), "copies"), "node")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

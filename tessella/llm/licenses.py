@@ -7,6 +7,8 @@ hash join on the digest. The same lookup over single lines finds one-line
 licence notices inside longer texts.
 
 Null counts as the empty text; the empty canonical form matches no licence.
+Rows are judged one by one: repeated and null ids do not matter, nor do other
+columns. Texts of any length are read whole.
 Ties (two licences of one canonical form) give the first name in order.
 """
 
@@ -89,24 +91,31 @@ def known_digests(spark: SparkSession, extra: DataFrame | None = None) -> DataFr
     return known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", notice: str | None = "licen[sc]e") -> DataFrame:
     """One row per document: canonical digest, ``license`` of the whole text (null if unknown) and the sorted licences of its notice lines.
 
-    Lines are prefiltered on the word "licens"/"licenc", the SPDX tag or "public license", which every
-    notice in the catalogue has, so that only such lines are hashed and shuffled.
+    Notices depend on the text alone, so they are found once for each distinct
+    text and joined on its hash: rows that repeat an id, or have none, keep their
+    own. Only lines that match ``notice`` are hashed and shuffled; every notice
+    of the catalogue does. With others in ``known`` give a wider pattern, or None
+    for all lines.
     """
-    t = whole(text)
-    base = docs.select(F.col(doc_id).alias("doc_id"), digest(t).alias("digest"))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.lower(x).rlike("licen[sc]e"))
+    t = whole(F.col(text).cast("string"))
+    blob = F.sha2(t, 256).alias("_blob")
+    base = docs.select(F.col(doc_id).alias("doc_id"), digest(t).alias("digest"), blob)
+    lines = F.split(t, "\n") if notice is None else F.filter(F.split(t, "\n"), lambda x: F.lower(x).rlike(notice))
     hits = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.explode(lines).alias("line"))
-        .select("doc_id", digest(F.col("line")).alias("digest"))
+        docs.select(blob, lines.alias("lines"))
+        .where(F.size("lines") > 0)
+        .dropDuplicates(["_blob"])
+        .select("_blob", F.explode("lines").alias("line"))
+        .select("_blob", digest(F.col("line")).alias("digest"))
         .join(known, "digest")
-        .groupBy("doc_id")
+        .groupBy("_blob")
         .agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
     )
     return (
         base.join(known, "digest", "left")
-        .join(hits, "doc_id", "left")
+        .join(hits, "_blob", "left")
         .select("doc_id", F.col("digest").alias("canonical_sha256"), "license", F.coalesce("notices", F.lit("")).alias("notices"))
     )

@@ -3,20 +3,26 @@
 The token share p of each source is raised to an exponent a in [0, 1] and
 normalised: w = p**a / sum(p**a). The exponent is found by bisection so that the
 entropy of w meets a target, then raised if a source would be read more often
-than ``max_repeats`` times. Each source gets w * budget tokens: as many whole
-passes as fit, and a part of one more.
-
-A pass is a block permutation: documents fall into blocks by hash, blocks are
-ordered by a hash of (pass, block) and documents inside a block by a hash of
-(pass, document). Running token sums over blocks (at most ``max_blocks`` a
-source) and inside one block at a time give each copy its place, so no task
-sorts a whole source. The last pass ends before the budget would be passed.
+than ``max_repeats`` times. Both conditions need only sums over the sources (of
+p**a and of p**a * ln p) and the smallest share, so each step cuts the interval
+at several points with one aggregation over the table of source totals; only the
+sums reach the driver, however many sources there are. Each source gets
+w * budget tokens: as many whole passes as fit, and a part of one more.
+
+A pass is a block permutation: documents fall into blocks of about
+``block_tokens`` by hash, blocks into groups (the square root of the number of
+blocks), groups are ordered by a hash of (pass, group), blocks inside a group and
+documents inside a block likewise. Running token sums over the groups of a
+source, the blocks of a group and the documents of a block give each copy its
+place, so no task sorts a whole source, and what a task sorts grows with the
+square root of the largest source at most. The last pass ends before the budget
+would be passed.
 
 Null sources are one source of their own ("" in the result if it has no such
 source, else mixed with it). Null and empty texts have no tokens and come along
 in passes that are read whole. Repeated rows are separate documents that stand
-side by side; a source without tokens gets no budget. An empty table gives an
-empty plan.
+side by side; a null id is an id like any other. A source without tokens gets no
+budget. An empty table gives an empty plan. Very long texts are one document.
 """
 
 from __future__ import annotations
@@ -27,9 +33,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import whole, written
 
-MOST_SOURCES = 50_000
+#: Points at which one aggregation cuts the interval of the exponent, and such steps: 33**8 parts.
+CUTS, STEPS = 32, 8
+#: Parts of a source when its documents meet its totals, so that a hot source is spread over tasks.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -43,41 +52,41 @@ class Mix:
         return F.when(tokens > 0, F.pow(tokens / F.lit(float(max(self.total, 1))), F.lit(self.exponent)) / F.lit(self.norm)).otherwise(0.0)
 
 
-def weights(tokens: list[int], exponent: float) -> list[float]:
-    total = sum(tokens)
-    raised = [(t / total) ** exponent if t else 0.0 for t in tokens]
-    return [r / sum(raised) for r in raised]
-
-
-def entropy(w: list[float]) -> float:
-    return -sum(x * math.log(x) for x in w if x > 0)
+def _sums(totals: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """sum(p**a) and sum(p**a * ln p) over the sources for every exponent a, in one aggregation."""
+    a = F.array(*[F.lit(float(x)) for x in exponents])
+    rows = totals.select("p", F.posexplode(a).alias("i", "a")).groupBy("i").agg(F.sum(F.pow("p", "a")).alias("s"), F.sum(F.pow("p", "a") * F.log("p")).alias("l"))
+    found = {r.i: (r.s, r.l) for r in rows.collect()}  # a row an exponent
+    return [found[i] for i in range(len(exponents))]
 
 
-def _bisect(holds, low: float, high: float, rounds: int = 60) -> float:
-    """The smallest point where ``holds`` is true, if it is false below and true above."""
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (low, mid) if holds(mid) else (mid, high)
+def _smallest(totals: DataFrame, holds, low: float, high: float) -> float:
+    """The smallest exponent where ``holds(a, s, l)`` is true, if it is false below and true above."""
+    for _ in range(STEPS):
+        points = [low + (high - low) * (k + 1) / (CUTS + 1) for k in range(CUTS)]
+        true = [holds(x, *sums) for x, sums in zip(points, _sums(totals, points))]
+        first = true.index(True) if True in true else CUTS
+        low, high = (points[first - 1] if first else low), (points[first] if first < CUTS else high)
     return high
 
 
-def solve(tokens: list[int], budget: int, entropy_share: float | None = None, max_repeats: float | None = None) -> float:
-    """Exponent for a target entropy (as a share of that of equal weights) under a repetition limit."""
-    some = [t for t in tokens if t > 0]
-    if len(some) < 2:
+def solve(totals: DataFrame, total: int, budget: int, entropy_share: float | None = None, max_repeats: float | None = None) -> float:
+    """Exponent for a target entropy (as a share of that of equal weights) under a repetition limit; ``totals`` has a row (source, total) for each source."""
+    shares = totals.where("total > 0").select((F.col("total") / F.lit(float(max(total, 1)))).alias("p"))
+    n, smallest = shares.agg(F.count("*"), F.min("p")).first()
+    if n < 2:
         return 1.0
+    entropy = lambda a, s, l: math.log(s) - a * l / s  # noqa: E741, E731
     exponent = 1.0
     if entropy_share is not None:
-        target = entropy_share * math.log(len(some))
-        if entropy(weights(some, 1.0)) < target:
-            exponent = _bisect(lambda a: entropy(weights(some, a)) <= target, 0.0, 1.0)
+        target = entropy_share * math.log(n)
+        if entropy(1.0, *_sums(shares, [1.0])[0]) < target:
+            exponent = _smallest(shares, lambda a, s, l: entropy(a, s, l) <= target, 0.0, 1.0)  # noqa: E741
     if max_repeats is not None:
-
-        def within(a: float) -> bool:
-            return max(w * budget / t for w, t in zip(weights(some, a), some)) <= max_repeats
-
-        if not within(exponent):
-            exponent = _bisect(within, exponent, 1.0)
+        # w / p = p**(a - 1) / sum(p**a) is largest for the smallest share
+        within = lambda a, s, l: smallest ** (a - 1) / s * budget / total <= max_repeats  # noqa: E741, E731
+        if not within(exponent, *_sums(shares, [exponent])[0]):
+            exponent = _smallest(shares, within, exponent, 1.0)
     return exponent
 
 
@@ -88,43 +97,58 @@ def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     )
 
 
-def plan(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, max_blocks: int = 4096, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row for each copy of a document: (doc_id, source, epoch, block, position, n_tokens, mix_rank).
 
     ``position`` is the token offset in its source's sequence; reading all copies
     by ``mix_rank`` (position over the source's budget) interleaves the sources.
     The default budget is the number of tokens there are.
     """
-    tokens = cut(counted(docs, doc_id, text, source))
-    totals = cut(tokens.groupBy("source").agg(F.sum("tokens").alias("total")))
-    if totals.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    known = [r["total"] for r in totals.collect()]  # one number a source, bounded above
-    total = sum(known)
+    tokens = written(counted(docs, doc_id, text, source), "tokens")
+    return placed(tokens, written(tokens.groupBy("source").agg(F.sum("tokens").alias("total")), "sources"), budget, entropy_share, max_repeats, block_tokens, seed)
+
+
+def placed(tokens: DataFrame, totals: DataFrame, budget: int | None, entropy_share: float | None, max_repeats: float | None, block_tokens: int = 1 << 18, seed: int = 17) -> DataFrame:
+    """The plan for (doc_id, source, tokens) rows, which may have more columns, and their (source, total) rows."""
+    total = totals.agg(F.sum("total")).first()[0] or 0
     budget = total if budget is None else budget
-    exponent = solve(known, budget, entropy_share, max_repeats)
-    mix = Mix(exponent, sum((t / total) ** exponent for t in known if t) or 1.0, total, budget)
+    exponent = solve(totals, total, budget, entropy_share, max_repeats)
+    some = totals.where("total > 0")
+    norm = some.agg(F.sum(F.pow(F.col("total") / float(max(total, 1)), F.lit(exponent)))).first()[0] or 1.0
+    mix = Mix(exponent, norm, total, budget)
     share = F.floor(mix.weight(F.col("total")) * F.lit(float(budget))).cast("long")
-    sources = totals.select(
-        "source",
-        "total",
-        share.alias("share"),
-        F.when(F.col("total") > 0, F.expr(f"int(least({max_blocks}, greatest(1, ceil(total / {block_tokens}))))")).otherwise(1).alias("blocks"),
-    ).where("total > 0")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / block_tokens)).cast("int")
+    sources = some.select("source", "total", share.alias("share"), blocks.alias("blocks"), F.ceil(F.sqrt(blocks)).cast("int").alias("groups"))
     sources = sources.withColumn("passes", F.floor(F.col("share") / F.col("total")).cast("int")).withColumn("rest", F.col("share") % F.col("total"))
-    # a row a source, at most MOST_SOURCES as checked above
-    dealt = tokens.join(F.broadcast(sources), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")).cast("int"))
-    sizes = dealt.groupBy("source", "block", "passes", "rest", "total").agg(F.sum("tokens").alias("size"))
+    salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")).cast("int"))
+    sizes = dealt.groupBy("source", "block", "groups", "passes", "rest").agg(F.sum("tokens").alias("size"))
+    sizes = sizes.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), "block"), F.col("groups")).cast("int"))
     epochs = sizes.withColumn("epoch", F.explode(F.expr("sequence(0, passes)")))
-    ordered = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")
-    placed = epochs.withColumn("before", F.sum("size").over(ordered) - F.col("size"))
+    order = lambda *columns: [F.xxhash64(F.lit(seed), "epoch", *columns), *columns]
+    ahead = Window.unboundedPreceding, -1
+    of_group = epochs.groupBy("source", "epoch", "group").agg(F.sum("size").alias("_size"))
+    of_group = of_group.select("source", "epoch", "group", F.coalesce(F.sum("_size").over(Window.partitionBy("source", "epoch").orderBy(*order("group")).rowsBetween(*ahead)), F.lit(0)).alias("_group"))
+    in_group = Window.partitionBy("source", "epoch", "group").orderBy(*order("block")).rowsBetween(*ahead)
+    at = epochs.withColumn("_inside", F.coalesce(F.sum("size").over(in_group), F.lit(0))).join(of_group, ["source", "epoch", "group"])
     # the pass after the whole ones is read up to the rest of the budget
-    used = placed.where((F.col("epoch") < F.col("passes")) | (F.col("before") < F.col("rest"))).select("source", "epoch", "block", "before")
+    used = at.withColumn("before", F.col("_group") + F.col("_inside")).where((F.col("epoch") < F.col("passes")) | (F.col("before") < F.col("rest"))).select("source", "epoch", "block", "before")
     copies = dealt.withColumn("epoch", F.explode(F.expr("sequence(0, passes)"))).join(used, ["source", "epoch", "block"])
     inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id"), "doc_id", "tokens")
     running = copies.withColumn("to", F.col("before") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kept = running.where((F.col("epoch") < F.col("passes")) | (F.col("to") <= F.col("rest")))
     position = F.col("epoch") * F.col("total") + F.col("to") - F.col("tokens")
+    rest = [c for c in tokens.columns if c not in ("doc_id", "source", "tokens")]
     return kept.select(
-        "doc_id", "source", "epoch", "block", position.alias("position"), F.col("tokens").alias("n_tokens"), (position / F.col("share")).alias("mix_rank")
+        "doc_id", "source", "epoch", "block", position.alias("position"), F.col("tokens").alias("n_tokens"), (position / F.col("share")).alias("mix_rank"), *rest
     )
+
+
+def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The plan with the text of every copy in a column ``text``."""
+    key = F.monotonically_increasing_id().alias("_key")
+    keyed = written(docs.select(key, F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), whole(F.col(source).cast("string")).alias("source")), "keyed")
+    tokens = written(keyed.select("doc_id", "source", F.regexp_count(whole("text"), F.lit("\\S+")).cast("long").alias("tokens"), "_key"), "tokens")
+    copies = placed(tokens, written(tokens.groupBy("source").agg(F.sum("tokens").alias("total")), "sources"), budget, entropy_share, max_repeats, block_tokens, seed)
+    return copies.join(keyed.select("_key", "text"), "_key").drop("_key")

@@ -5,12 +5,13 @@ aggregation over all labelled training rows gives mean and covariance of each
 class. A covariance is shrunk towards the pooled one and towards a multiple of
 the identity; its Cholesky factor is computed once and sent to the tasks, where
 Mahalanobis distances and log determinants give the log-density difference. The
-difference is calibrated by a logistic curve fitted to a histogram of it over
-all training rows.
+difference is calibrated by a logistic curve fitted to a histogram of it over a
+fifth of the training rows (by hash) that the moments are not taken from.
 
 Labels, language, source and id are never inputs of a score. Null and empty
 texts are scored like any text (all counts are zero). Repeated ids are scored
-row by row; rows without a label or id are not learned from. Without rows of
+row by row; equal rows of the labels count once; other columns are not read,
+and texts of any length are read whole. Rows without a label or id are not learned from. Without rows of
 both classes every score is the share of label 1, or 0.5 without any label.
 """
 
@@ -46,6 +47,7 @@ NAMES = (
     "capital_words",
     "byte_entropy",
 )
+FLAT = 40.0
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&<>=_~^@{}[]\\/+"]] = True
 _UPPER = np.zeros(256, bool)
@@ -151,10 +153,19 @@ def shrunk(cov: np.ndarray, n: float, pooled: np.ndarray, to_pooled: float, to_i
     return (1 - to_identity) * mixed + to_identity * (np.trace(pooled) / len(cov) + 1e-9) * np.eye(len(cov))
 
 
+def calibration_part(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for the moments and rows for the calibration, by hash of the vector; all rows for both where a part lacks a class."""
+    part = F.pmod(F.xxhash64("x"), F.lit(5)) == 0
+    rest, own = labelled.where(~part), labelled.where(part)
+    seen = labelled.groupBy(part.alias("part")).agg(F.count_distinct("y").alias("classes")).where("classes = 2").count()
+    return (rest, own) if seen == 2 else (labelled, labelled)
+
+
 def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.02) -> Model:
     """Model from (x, y) rows; only class moments and a histogram reach the driver."""
     k = len(NAMES)
     x = [F.get("x", i) for i in range(k)]
+    labelled, calibration = calibration_part(labelled)
     moments = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]
     moments += [F.avg(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1)]
     rows = {r["y"]: r for r in labelled.groupBy("y").agg(F.count("*").alias("n"), *moments).collect()}
@@ -175,7 +186,9 @@ def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.02)
     pooled = (n[0] * covs[0] + n[1] * covs[1]) / n.sum()
     factors = [np.linalg.cholesky(shrunk(c, m, pooled, to_pooled, to_identity)) for c, m in zip(covs, n)]
     model = Model(np.array(means), np.array(factors), np.array([2 * np.log(np.diag(f)).sum() for f in factors]), prior)
-    bins = scored(labelled, model, "difference").groupBy("y", F.round("score", 1).alias("d")).agg(F.count("*").alias("n"))
+    # differences are cut off where the curve is flat, so the histogram has at most 2 * FLAT * 10 + 1 bins
+    flat = F.greatest(F.least(F.col("score"), F.lit(FLAT)), F.lit(-FLAT))
+    bins = scored(calibration, model, "difference").groupBy("y", F.round(flat, 1).alias("d")).agg(F.count("*").alias("n"))
     bins = bins.groupBy("d").agg(F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("n0")).toPandas().fillna(0)
     model.slope, model.offset = calibrated(bins["d"].to_numpy(float), bins["n0"].to_numpy(float), bins["n1"].to_numpy(float))
     return model
@@ -213,7 +226,7 @@ def scored(vectors: DataFrame, model: Model, what: str = "score") -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; learned from rows that are not held out."""
     vectors = written(features(docs, doc_id, text), "quality")
-    y = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
+    y = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).distinct()
     train = vectors.join(y.where(bucket_of(F.col("doc_id"), modulus) != held_out), "doc_id").select("x", "y")
     model = fit(train)
     return scored(vectors, model).select(

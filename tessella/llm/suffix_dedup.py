@@ -19,8 +19,9 @@ depth and only where something repeats, so it is built in buckets:
    longest previous factor reaches ``length``. All but the interval's first
    text position are such "later" suffixes; all of them are "repeated".
 4. A bucket of more than ``most`` different runs is not swept in one task. Its
-   windows are hashed (128 bits) and counted by aggregation, which gives the
-   same answer for hot buckets in any number of tasks.
+   windows are hashed by two independent polynomials (128 bits) and counted by
+   aggregation, which gives the same answer for hot buckets in any number of
+   tasks, but for a chance collision of both hashes.
 
 Matches never cross documents. Null texts are empty. Every row is a document
 of its own, with an integer id; where ids are missing or repeat, rows get keys in
@@ -239,7 +240,7 @@ def _hash_windows(length: int):
                 data = np.frombuffer(text, dtype=np.uint8)
                 start = np.arange(hi - lo + 1)
                 h1 = tk.span_hashes(tk.prefix(data), start, start + length)
-                h2 = tk.span_hashes(tk.prefix(data ^ np.uint8(0x5A)), start, start + length)
+                h2 = tk.span_hashes(tk.prefix(data, other=True), start, start + length, other=True)
                 n = len(start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, x), t) for x, t in ((v, pa.int64()), (f, pa.int64()), (doc, pa.int64()), (anchor, pa.int32()), (copies, pa.int64()))]

@@ -10,7 +10,8 @@ sample.
 
 The sample holds at most ``max_rows`` labelled rows, taken by hash. Labels,
 language, source and id are never inputs of a score. Null and empty texts have
-no matches and get the score of such. Rows without a label or id are not
+no matches and get the score of such. Texts of any length are matched whole;
+repeated rows are scored row by row and other columns pass through. Rows without a label or id are not
 learned from. Without rows of both classes the lexicon is empty and every score
 is the share of label 1 (0 without labels).
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bucket_of, written
 
 # Look-alike characters and the letters they stand for.
-HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁɡһԛԝαβεικνορτυχ", "abekmhopctyxijsdghqwabeiknoptux"))
+HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁɡһԛԝαβεικνορτυχ", "abekmhopctyxijsdghqwabeikvoptux"))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "​": "", "­": ""}
 _FOLD = str.maketrans(HOMOGLYPHS | DIGITS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
 _ASCII = str.maketrans(DIGITS)

@@ -128,17 +128,17 @@ WITH known AS (
   SELECT sha256({_canonical('text')}) AS digest, min(license) AS license
   FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in licenses.KNOWN)}) AS t(license, text) GROUP BY 1
 ), docs AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents
 ), lines AS (
-  SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), 'licen[sc]e'))) AS line FROM docs
+  SELECT k, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), 'licen[sc]e'))) AS line FROM docs
 ), notices AS (
-  SELECT doc_id, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices
-  FROM lines JOIN known ON sha256({_canonical('line')}) = digest GROUP BY doc_id
+  SELECT k, array_to_string(list_sort(list_distinct(list(license))), ',') AS notices
+  FROM lines JOIN known ON sha256({_canonical('line')}) = digest GROUP BY k
 ), whole AS (
-  SELECT doc_id, sha256({_canonical('text')}) AS canonical_sha256 FROM docs
+  SELECT k, doc_id, sha256({_canonical('text')}) AS canonical_sha256 FROM docs
 )
 SELECT doc_id, canonical_sha256, license, coalesce(notices, '') AS notices
-FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN notices USING (doc_id)
+FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN notices USING (k)
 """
 
 
