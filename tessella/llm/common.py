@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset and all run on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return context.getCheckpointDir()
 
