@@ -18,7 +18,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Common table expressions by name, in dependency order. {x} stands for a table.
 PROJECTION: dict[str, str] = {
     "nodes": """
- SELECT concat('person-',CAST(user_id AS STRING)) id, CAST(NULL AS STRING) parent_id, 'person' kind, CAST(NULL AS STRING) status, false ext, concat('U',CAST(user_id AS STRING)) name, user_id ord FROM (SELECT DISTINCT user_id FROM {events} WHERE user_id < 10) u
+ SELECT concat('person-',CAST(user_id AS STRING)) id, CAST(NULL AS STRING) parent_id, 'person' kind, CAST(NULL AS STRING) status, false ext, concat('U',CAST(user_id AS STRING)) name, user_id ord FROM (SELECT DISTINCT user_id FROM {events}) u
  UNION ALL SELECT concat('system-',CAST(r_regionkey AS STRING)), NULL, 'system', CASE WHEN r_regionkey=4 THEN NULL ELSE 'proposed' END, r_regionkey=4, r_name, 1000000000 + r_regionkey FROM {region}
  UNION ALL SELECT concat('container-',CAST(n_nationkey AS STRING)), concat('system-',CAST(n_regionkey AS STRING)), 'container', 'proposed', false, n_name, 2000000000 + n_nationkey FROM {nation} WHERE n_regionkey<>4
  UNION ALL SELECT concat('component-',CAST(s_suppkey AS STRING)), concat('container-',CAST(s_nationkey AS STRING)), 'component',
@@ -28,7 +28,7 @@ PROJECTION: dict[str, str] = {
    FROM {part} JOIN (SELECT l_partkey, min(l_suppkey) sk FROM {lineitem} GROUP BY l_partkey) m ON p_partkey=l_partkey JOIN {supplier} ON s_suppkey=sk JOIN {nation} ON s_nationkey=n_nationkey WHERE n_regionkey<>4""",
     "pairs": """
  SELECT DISTINCT concat('component-',CAST(a.l_suppkey AS STRING)) source, concat('component-',CAST(b.l_suppkey AS STRING)) target FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1 WHERE a.l_quantity>=49 AND a.l_suppkey<>b.l_suppkey
- UNION SELECT concat('person-',CAST(user_id AS STRING)), concat('system-',CAST(user_id % 4 AS STRING)) FROM {events} WHERE user_id<8
+ UNION SELECT concat('person-',CAST(user_id AS STRING)), concat('system-',CAST(user_id % 4 AS STRING)) FROM {events}
  UNION SELECT concat('container-',CAST(n_nationkey AS STRING)), concat('container-',CAST((n_nationkey*7+3)%25 AS STRING)) FROM {nation}
  UNION SELECT concat('system-',CAST(r_regionkey AS STRING)), concat('system-',CAST((r_regionkey+1)%5 AS STRING)) FROM {region} WHERE r_regionkey<3""",
     "edges": """
@@ -37,10 +37,10 @@ PROJECTION: dict[str, str] = {
  SELECT n.id, concat('Uses @[', m.name, '] and @[missing] daily') description FROM nodes n JOIN {supplier} a ON n.id=concat('component-',CAST(a.s_suppkey AS STRING))
   JOIN nodes m ON m.id=concat('component-',CAST((a.s_suppkey*7+3)%100 AS STRING))""",
     "contract_item": """
- SELECT concat(CASE WHEN o_orderkey % 2 = 0 THEN 'container-' ELSE 'component-' END, CAST(CASE WHEN o_orderkey % 2 = 0 THEN c_nationkey ELSE (o_orderkey*3) % 97 END AS STRING)) owner_id,
+ SELECT concat(CASE WHEN o_orderkey % 100 = 0 THEN 'container-' WHEN o_orderkey % 10 = 5 THEN 'component-' ELSE 'operation-' END, CAST(CASE WHEN o_orderkey % 100 = 0 THEN c_nationkey WHEN o_orderkey % 10 = 5 THEN (o_orderkey*3) % 97 ELSE o_custkey END AS STRING)) owner_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'expect' WHEN 1 THEN 'expect' WHEN 2 THEN 'ask' ELSE 'never' END section, o_orderkey pos, o_orderpriority text,
   CASE WHEN o_orderkey % 5 < 3 THEN true WHEN o_orderkey % 5 = 3 THEN false ELSE CAST(NULL AS BOOLEAN) END passed
- FROM {orders} JOIN {customer} ON o_custkey=c_custkey WHERE o_orderkey < 120""",
+ FROM {orders} JOIN {customer} ON o_custkey=c_custkey""",
     "group_member": """
  SELECT concat('group-',CAST(n_regionkey AS STRING),'-',CAST(n_nationkey % 2 AS STRING)) group_id, concat('container-',CAST(n_nationkey AS STRING)) node_id, n_nationkey pos FROM {nation} WHERE n_regionkey<>4 AND n_nationkey % 5 <> 0""",
     "model_group": """

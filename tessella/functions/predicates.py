@@ -76,9 +76,9 @@ def model_ref(name: Column) -> Column:
     )
 
 
-def model_path(ref: Column, home: str) -> Column:
-    """File of a model reference."""
-    return F.when(ref["scope"] == "project", F.concat(ref["key"], F.lit("/.scryer/model.scry"))).otherwise(F.concat(F.lit(home + "/"), ref["key"], F.lit(".scry")))
+def model_path(ref: Column, home: str, folder: str, ending: str) -> Column:
+    """File of a model reference: ``model`` in the project's own ``folder``, or by its name in ``home``."""
+    return F.when(ref["scope"] == "project", F.concat(ref["key"], F.lit(f"/{folder}/model{ending}"))).otherwise(F.concat(F.lit(home + "/"), ref["key"], F.lit(ending)))
 
 
 def severity(code: Column) -> Column:

@@ -80,8 +80,8 @@ def touched_parents(base: DataFrame, now: DataFrame, base_edge: DataFrame, edge:
 
 
 def oldest_unacknowledged(history: DataFrame) -> DataFrame:
-    """(model, id, old): per node the oldest value that is not acknowledged, from (model, id, version, old, acknowledged)."""
-    return history.where("NOT acknowledged").groupBy("model", "id").agg(F.min_by("old", "version").alias("old"))
+    """(model, id, old): per node the oldest value that is not acknowledged, from (model, id, version, old, acknowledged); of several values of one version the smallest."""
+    return history.where("NOT acknowledged").groupBy("model", "id").agg(F.min_by("old", F.struct("version", "old")).alias("old"))
 
 
 def focus(changed: DataFrame, depth: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Directories that scans leave out.
-SKIP_DIRS = ("node_modules", ".git", ".scryer", ".next", "__pycache__", ".direnv", ".venv", ".turbo", ".cache", ".nuxt", ".output", ".svelte-kit", ".parcel-cache", ".webpack", "vendor")
+SKIP_DIRS = ("node_modules", ".git", ".next", "__pycache__", ".direnv", ".venv", ".turbo", ".cache", ".nuxt", ".output", ".svelte-kit", ".parcel-cache", ".webpack", "vendor")
 SKIP_BUILD_DIRS = ("dist", "build", "out", "target", ".build", "bin", "obj", "pkg")
 
 
@@ -52,16 +52,16 @@ def source_drift(source_map: DataFrame, file: DataFrame, node: DataFrame, since:
     return listed.join(node.select("model", "id", "name"), ["model", "id"], "left").select("model", "id", F.coalesce("name", F.lit("")).alias("name"), "patterns")
 
 
-def kept_files(file: DataFrame) -> DataFrame:
-    """Files outside of skipped and build directories."""
-    skipped = [*SKIP_DIRS, *SKIP_BUILD_DIRS]
+def kept_files(file: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+    """Files outside of skipped and build directories, and of those that the caller names as its ``own``."""
+    skipped = [*SKIP_DIRS, *SKIP_BUILD_DIRS, *own]
     parts = F.split("path", "/")
     return file.where(~F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.isin(*skipped)))
 
 
-def structure_drift(file: DataFrame, since: Column) -> DataFrame:
+def structure_drift(file: DataFrame, since: Column, own: tuple[str, ...] = ()) -> DataFrame:
     """(model, changed): was any kept file created strictly after ``since``. Deletions are not seen."""
-    return kept_files(file).groupBy("model").agg(F.bool_or(F.col("created") > since).alias("changed"))
+    return kept_files(file, own).groupBy("model").agg(F.bool_or(F.col("created") > since).alias("changed"))
 
 
 def drift_report(source_map: DataFrame, file: DataFrame, node: DataFrame, since: Column, lock: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ def resolve(hint: DataFrame, node: DataFrame, step: DataFrame | None = None) ->
     if step is not None:
         tops = step.where("parent_step_id IS NULL").select("model", F.col("step_id").alias("name"), F.col("pos").alias("ord"), F.col("step_id").alias("_id"))
         found = found.unionByName(hint.join(tops, ["model", "name"]).select(*keys, F.lit(2).alias("tier"), "ord", "_id"))
-    names = node.groupBy("model", F.lower("name").alias("_low")).agg(F.min_by(F.struct("ord", "id"), "ord").alias("n"))
+    names = node.groupBy("model", F.lower("name").alias("_low")).agg(F.min(F.struct("ord", "id")).alias("n"))
     rest = hint.join(found.select(*keys).distinct(), keys, "left_anti")
     loose = rest.join(names, "model").where(F.contains("_low", F.lower("name")) | F.contains(F.lower("name"), F.col("_low")))
     found = found.unionByName(loose.select(*keys, F.lit(5).alias("tier"), F.col("n.ord").alias("ord"), F.col("n.id").alias("_id")))
-    return found.groupBy(*keys).agg(F.min_by(F.struct("_id", "tier"), F.struct("tier", "ord")).alias("b")).select(*keys, F.col("b._id").alias("id"), "b.tier")
+    return found.groupBy(*keys).agg(F.min(F.struct("tier", "ord", "_id")).alias("b")).select(*keys, F.col("b._id").alias("id"), "b.tier")

@@ -7,18 +7,32 @@ depth of a pair is its shortest distance.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.lineage import cut
 
 
+#: Closures of the node tables in use, so that the operators of one query share them.
+_closures: WeakKeyDictionary[DataFrame, dict[tuple[str, str], DataFrame]] = WeakKeyDictionary()
+
+
 def closure(node: DataFrame, child: str = "id", parent: str = "parent_id") -> DataFrame:
     """(model, ancestor, descendant, depth) including every node itself at depth 0.
 
     Parents that are no node are left out. On a cycle a node reaches itself at
-    depth 0 only.
+    depth 0 only. The closure is written once for each node table (the same
+    DataFrame object), which must not change while it is in use.
     """
+    known = _closures.setdefault(node, {})
+    if (child, parent) not in known:
+        known[child, parent] = _closed(node, child, parent)
+    return known[child, parent]
+
+
+def _closed(node: DataFrame, child: str, parent: str) -> DataFrame:
     ids = node.select("model", F.col(child).alias("id")).distinct()
     step = (
         node.where(F.col(parent).isNotNull())
@@ -28,7 +42,7 @@ def closure(node: DataFrame, child: str = "id", parent: str = "parent_id") -> Da
         .withColumn("depth", F.lit(1))
     )
     paths = cut(ids.select("model", F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth")).unionByName(step))
-    reach, size = 1, -1
+    reach = 1
     while True:
         upper = paths.select("model", F.col("ancestor").alias("top"), F.col("descendant").alias("ancestor"), F.col("depth").alias("above")).where(
             F.col("above") > 0
@@ -37,10 +51,10 @@ def closure(node: DataFrame, child: str = "id", parent: str = "parent_id") -> Da
             "model", F.col("top").alias("ancestor"), "descendant", (F.col("depth") + F.col("above")).alias("depth")
         )
         wider = cut(paths.unionByName(longer).groupBy("model", "ancestor", "descendant").agg(F.min("depth").alias("depth")))
-        now = wider.count()
-        if now == size or not longer.take(1):
+        # a path of twice the reach is the only one that the next round could make longer
+        if (wider.agg(F.max("depth")).first()[0] or 0) < 2 * reach:
             return wider
-        paths, reach, size = wider, reach * 2, now
+        paths, reach = wider, reach * 2
 
 
 def descendants(node: DataFrame, root: str) -> DataFrame:

@@ -8,6 +8,7 @@ Everything that is a plain aggregation stays in DataFrame functions.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -79,67 +80,80 @@ def edge_bundles(node: DataFrame, edge: DataFrame) -> DataFrame:
     )
 
 
-SIDES = {"top": (0.5, 0.0), "bottom": (0.5, 1.0), "left": (0.0, 0.5), "right": (1.0, 0.5)}
-CORNERS = {"top-left": (0.0, 0.0), "top-right": (1.0, 0.0), "bottom-left": (0.0, 1.0), "bottom-right": (1.0, 1.0)}
-#: Corner pair for the direction from source to target, by its angle.
-DIAGONALS = {45: ("bottom-right", "top-left"), 135: ("bottom-left", "top-right"), -45: ("top-right", "bottom-left"), -135: ("top-left", "bottom-right")}
+# Connection points by their place on a node (shares of width and height); corners come after sides.
+POINTS = (
+    ("top", 0.5, 0.0), ("bottom", 0.5, 1.0), ("left", 0.0, 0.5), ("right", 1.0, 0.5),
+    ("top-left", 0.0, 0.0), ("top-right", 1.0, 0.0), ("bottom-left", 0.0, 1.0), ("bottom-right", 1.0, 1.0),
+)
+#: A direction counts as a main axis where one difference is longer by this share, and the longer one has this many pixels.
+LEAN, NEAR = 0.3, 40.0
 
 
-def misaligned(point: str, dx: float, dy: float) -> float:
-    """How far a side is from the main axis between two nodes: 0 to 1."""
-    ax, ay = abs(dx), abs(dy)
-    longest = max(ax, ay)
-    lean = abs(ax - ay) / longest if longest else 0.0
-    if (ax < 40 and ay < 40) or lean < 0.3:
-        return 0.0
-    across = ("left", "right") if ay > ax else ("top", "bottom")
-    return lean if point in across else 0.0
+def point_pairs(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """(model, view, ord, id, source, target, far, pairs): for every edge with both ends, the pairs of points it may take, with their costs.
 
-
-def _choices(dx: float, dy: float) -> tuple[list[str], list[str]]:
-    angle = math.degrees(math.atan2(dy, dx))
-    for at, (a, b) in DIAGONALS.items():
-        if abs((angle - at + 180) % 360 - 180) <= CORNER_WINDOW:
-            return [*SIDES, a], [*SIDES, b]
-    return list(SIDES), list(SIDES)
+    A side may always be taken. A corner may be where the nodes lie along a
+    diagonal, to within ``CORNER_WINDOW`` degrees, and it faces the other node.
+    A pair costs its squared length, and ``AXIS`` times the lean of the main
+    axis for each of its points that lies across that axis.
+    """
+    c = centres(node)
+    end = lambda key, p: c.select("model", "view", F.col("id").alias(key), *[F.col(k).alias(f"{p}_{k}") for k in ("cx", "cy", "w", "h")])
+    rows = edge.join(end("source", "s"), ["model", "view", "source"]).join(end("target", "t"), ["model", "view", "target"])
+    rows = rows.withColumn("dx", F.col("t_cx") - F.col("s_cx")).withColumn("dy", F.col("t_cy") - F.col("s_cy"))
+    wide, high = F.abs("dx"), F.abs("dy")
+    longest = F.greatest(wide, high)
+    lean = F.when((longest >= NEAR) & (F.abs(wide - high) >= LEAN * longest), F.abs(wide - high) / longest).otherwise(0.0)
+    rows = rows.withColumn("lean", lean).withColumn("flat", wide >= high).withColumn("diagonal", F.abs(F.degrees(F.atan2(high, wide)) - 45) <= CORNER_WINDOW)
+    table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (n, x, y) in enumerate(POINTS)])
+
+    def open_to(p: Column, dx: Column, dy: Column) -> Column:
+        corner = (p["x"] != 0.5) & (p["y"] != 0.5)
+        return ~corner | (F.col("diagonal") & ((p["x"] == 1.0) == (dx > 0)) & ((p["y"] == 1.0) == (dy > 0)))
+
+    def across(p: Column) -> Column:
+        return F.when(F.when(F.col("flat"), p["x"] == 0.5).otherwise(p["y"] == 0.5), AXIS * F.col("lean")).otherwise(0.0)
+
+    def pair(p: Column, q: Column) -> Column:
+        gap = lambda axis, size, d: F.col(d) + (q[axis] - 0.5) * F.col(f"t_{size}") - (p[axis] - 0.5) * F.col(f"s_{size}")
+        length = F.pow(gap("x", "w", "dx"), F.lit(2.0)) + F.pow(gap("y", "h", "dy"), F.lit(2.0))
+        return F.struct((length + across(p) + across(q)).alias("cost"), p["rank"].alias("p"), q["rank"].alias("q"), p["name"].alias("at"), q["name"].alias("to"))
+
+    froms = F.filter(table, lambda p: open_to(p, F.col("dx"), F.col("dy")))
+    tos = F.filter(table, lambda q: open_to(q, -F.col("dx"), -F.col("dy")))
+    pairs = F.sort_array(F.flatten(F.transform(froms, lambda p: F.transform(tos, lambda q: pair(p, q)))))
+    far = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    return rows.select("model", "view", "ord", "id", "source", "target", far.alias("far"), pairs.alias("pairs"))
 
 
 def connection_points(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """(model, view, edge_id, source_point, target_point): cheapest pair of points, near edges first.
-
-    The cost is the squared distance of the points, more where a point is in
-    use or lies across the main axis. An edge against one already placed takes
-    its points, swapped. Edges with a missing end get none.
+    """(model, view, edge_id, source_point, target_point): the points that each edge of a view ends at.
+
+    Edges settle one after the other, near ones first (ties: by ``ord``): each
+    takes the pair of least cost, where ``CONGESTION`` is added for every settled
+    edge at either point (ties: the order of ``POINTS``). An edge whose reverse
+    has settled takes the reverse's points instead. Edges with a missing end get
+    none. A choice depends on those before, so a view is one group; its pairs
+    and their costs are columns.
     """
-    c = centres(node)
-    s = c.select("model", "view", F.col("id").alias("source"), *[F.col(k).alias(f"s_{k}") for k in ("cx", "cy", "w", "h")])
-    t = c.select("model", "view", F.col("id").alias("target"), *[F.col(k).alias(f"t_{k}") for k in ("cx", "cy", "w", "h")])
-    rows = edge.join(s, ["model", "view", "source"]).join(t, ["model", "view", "target"]).select("model", "view", "ord", "id", "source", "target", *s.columns[3:], *t.columns[3:])
-    points = SIDES | CORNERS
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        dx, dy = pdf.t_cx - pdf.s_cx, pdf.t_cy - pdf.s_cy
-        pdf = pdf.assign(dx=dx, dy=dy, far=dx * dx + dy * dy).sort_values(["far", "ord"], kind="stable")
-        uses: dict[tuple[str, str], int] = {}
-        placed: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        load: Counter[tuple[str, str]] = Counter()
+        settled: dict[tuple[str, str], dict] = {}
         out = []
-        for r in pdf.itertuples(index=False):
-            back = placed.get((r.target, r.source))
-            if back is not None:
-                a, b = back[1], back[0]
+        for e in pdf.sort_values(["far", "ord"], kind="stable").to_dict("records"):
+            back = settled.get((e["target"], e["source"]))
+            if back:
+                best = {"at": back["to"], "to": back["at"]}
             else:
-                at = lambda side, p: (getattr(r, f"{side}_cx") + (points[p][0] - 0.5) * getattr(r, f"{side}_w"), getattr(r, f"{side}_cy") + (points[p][1] - 0.5) * getattr(r, f"{side}_h"))  # noqa: B023, E731
-                price = lambda end, p: CONGESTION * uses.get((end, p), 0) + AXIS * misaligned(p, r.dx, r.dy)  # noqa: B023, E731
-                froms, tos = _choices(r.dx, r.dy)
-                costs = {(p, q): (at("s", p)[0] - at("t", q)[0]) ** 2 + (at("s", p)[1] - at("t", q)[1]) ** 2 + price(r.source, p) + price(r.target, q) for p in froms for q in tos}
-                a, b = min(costs, key=costs.get)
-                placed[r.source, r.target] = (a, b)
-            for end, p in ((r.source, a), (r.target, b)):
-                uses[end, p] = uses.get((end, p), 0) + 1
-            out.append((r.id, a, b))
+                busy = [x["cost"] + CONGESTION * (load[e["source"], x["at"]] + load[e["target"], x["to"]]) for x in e["pairs"]]
+                best = min(zip(busy, e["pairs"]), key=lambda x: (x[0], x[1]["p"], x[1]["q"]))[1]
+                settled[e["source"], e["target"]] = best
+            load.update([(e["source"], best["at"]), (e["target"], best["to"])])
+            out.append((e["id"], best["at"], best["to"]))
         return pd.DataFrame(out, columns=["edge_id", "source_point", "target_point"]).assign(model=pdf.model.iloc[0], view=pdf["view"].iloc[0])
 
-    return rows.groupBy("model", "view").applyInPandas(choose, "edge_id string, source_point string, target_point string, model string, view string")
+    return point_pairs(node, edge).groupBy("model", "view").applyInPandas(settle, "edge_id string, source_point string, target_point string, model string, view string")
 
 
 def isolates(node: DataFrame, edge: DataFrame) -> DataFrame:

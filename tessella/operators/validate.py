@@ -80,7 +80,7 @@ def mentions_without_edge(node: DataFrame, edge: DataFrame) -> DataFrame:
     unknown names are ignored; of equal names the last node counts; a repeated
     mention is reported again.
     """
-    named = node.where("name IS NOT NULL").groupBy("model", "name").agg(F.max_by(F.struct("id", "parent_id"), "ord").alias("t"))
+    named = node.where("name IS NOT NULL").groupBy("model", "name").agg(F.max_by(F.struct("id", "parent_id"), F.struct("ord", "id")).alias("t"))
     said = node.select("model", "id", "parent_id", F.posexplode(mentions(F.col("description"))).alias("pos", "name"))
     pairs = said.join(named, ["model", "name"]).select("model", F.col("id").alias("node_id"), "parent_id", "pos", F.col("t.id").alias("mentioned"), F.col("t.parent_id").alias("other_parent"))
     pairs = pairs.where(
@@ -107,7 +107,7 @@ def cross_container_edges(node: DataFrame, edge: DataFrame) -> DataFrame:
 def children_of_external(node: DataFrame) -> DataFrame:
     """(model, node_id): the first node in order that lies under an external system."""
     outside = node.where("kind = 'system' AND external").select("model", F.col("id").alias("parent_id"))
-    return node.join(outside, ["model", "parent_id"], "left_semi").groupBy("model").agg(F.min_by("id", "ord").alias("node_id"))
+    return node.join(outside, ["model", "parent_id"], "left_semi").groupBy("model").agg(F.min_by("id", F.struct("ord", "id")).alias("node_id"))
 
 
 def parent_errors(node: DataFrame) -> DataFrame:
@@ -170,4 +170,4 @@ def missing_externals(node: DataFrame, edge: DataFrame) -> DataFrame:
 def invalid_property_labels(prop: DataFrame) -> DataFrame:
     """(model, node_id, label): the first label of a node that is no type name."""
     bad = prop.where(~F.coalesce(F.col("label").rlike("^[A-Za-z][A-Za-z0-9_]*\\z"), F.lit(False)))
-    return bad.groupBy("model", "node_id").agg(F.min_by("label", "pos").alias("label"))
+    return bad.groupBy("model", "node_id").agg(F.min_by("label", F.struct("pos", "label")).alias("label"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.schema import CODE_KINDS
 
 from .graph import resolve_endpoints
+from .runs import numbered_runs
 
 
 def level_view(node: DataFrame, edge: DataFrame) -> DataFrame:
@@ -90,11 +91,13 @@ def open_hints(hint: DataFrame, dismissed: DataFrame) -> DataFrame:
     return hint.join(dismissed.select("model", "node_id", "message"), ["model", "node_id", "message"], "left_anti")
 
 
-def collapsed_log(log: DataFrame, keep: int = 200) -> DataFrame:
-    """(model, run, text, times): equal neighbours become one line with a number; the last ``keep`` lines."""
-    w = Window.partitionBy("model").orderBy("seq")
-    fresh = (~F.col("text").eqNullSafe(F.lag("text").over(w))) | F.lag("seq").over(w).isNull()
-    runs = log.withColumn("run", F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def collapsed_log(log: DataFrame, keep: int = 200, chunk: int = 10_000) -> DataFrame:
+    """(model, run, text, times): equal neighbours become one line with a number; the last ``keep`` lines.
+
+    Sequence numbers are read in stretches of ``chunk``, so that a long log is no single group.
+    """
+    differs = lambda before, row: ~before["text"].eqNullSafe(row["text"])
+    runs = numbered_runs(log, ["model"], ["seq"], F.floor(F.col("seq") / chunk), ["text"], differs)
     lines = runs.groupBy("model", "run").agg(F.first("text").alias("text"), F.count("*").alias("times"))
     last = lines.groupBy("model").agg(F.max("run").alias("_last"))
     return lines.join(last, "model").where(F.col("run") > F.col("_last") - keep).select("model", "run", "text", "times")

@@ -72,7 +72,7 @@ def _history(f):
 
 
 @query("d6_oldest_unacknowledged", HISTORY + """
-SELECT id, arg_min(old, version) AS old FROM history WHERE NOT acknowledged GROUP BY id""")
+SELECT id, first(old ORDER BY version, old) AS old FROM history WHERE NOT acknowledged GROUP BY id""")
 def d6_oldest_unacknowledged(f):
     return diff.oldest_unacknowledged(_history(f))
 
@@ -135,9 +135,9 @@ def k2_first_seen(f):
 
 @query("k3_debounce", MODEL_EVENTS + """, gap AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 1 MINUTE THEN 0 ELSE 1 END AS fresh FROM good),
 grp AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS g FROM gap)
-SELECT max(ts) + INTERVAL 1 MINUTE AS fires, arg_max(path, ts) AS path, count(*) AS events FROM grp GROUP BY g""")
+SELECT max(ts) + INTERVAL 1 MINUTE AS fires, last(path ORDER BY ts, path) AS path, count(*) AS events FROM grp GROUP BY g""")
 def k3_debounce(f):
-    return ev.debounced(ev.model_events(f["file_event"]), "1 minute")
+    return ev.debounced_log(ev.model_events(f["file_event"]), 60).select("fires", "path", "events")
 
 
 @query("k5_self_writes", MODEL_EVENTS + """, prev AS (SELECT seq, path, CAST(floor(value) AS BIGINT) % 3 AS content, lag(CAST(floor(value) AS BIGINT) % 3) OVER (PARTITION BY path ORDER BY seq) AS before FROM good)
@@ -147,13 +147,13 @@ def k5_self_writes(f):
     return ev.changed_content(rows).select("seq", "path")
 
 
-@query("k6_event_log", """lines AS (SELECT event_id AS seq, concat(event_type, ' ', CAST(event_id // 4 % 2 AS STRING)) AS text FROM events WHERE event_id < 3000),
+@query("k6_event_log", """lines AS (SELECT event_id AS seq, concat(event_type, ' ', CAST(event_id // 4 % 2 AS STRING)) AS text FROM events),
 lag_ AS (SELECT *, CASE WHEN text IS DISTINCT FROM lag(text) OVER (ORDER BY seq) THEN 1 ELSE 0 END AS fresh FROM lines), runs AS (SELECT *, sum(fresh) OVER (ORDER BY seq) AS run FROM lag_)
 SELECT CAST(run AS BIGINT) AS run, first(text ORDER BY seq) AS text, count(*) AS times FROM runs GROUP BY run HAVING run > (SELECT max(run) FROM runs) - 200""")
 def k6_event_log(f):
     from tessella.operators.views import collapsed_log
 
-    e = f.spark.read.parquet(f"{f.sf_dir}/events.parquet").where("event_id < 3000")
+    e = f.spark.read.parquet(f"{f.sf_dir}/events.parquet")
     log = e.select(F.lit("main").alias("model"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), F.expr("CAST(event_id div 4 % 2 AS STRING)")).alias("text"))
     return collapsed_log(log)
 

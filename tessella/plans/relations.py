@@ -9,7 +9,10 @@ from tessella.fixtures import Fixture
 
 
 def node(f: Fixture) -> DataFrame:
-    return f["nodes"].withColumnRenamed("ext", "external")
+    """One DataFrame for each fixture, so that operators share its closure."""
+    if "node" not in f._known:
+        f._known["node"] = f["nodes"].withColumnRenamed("ext", "external")
+    return f._known["node"]
 
 
 def described(f: Fixture) -> DataFrame:

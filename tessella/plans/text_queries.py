@@ -43,11 +43,11 @@ def p5_p6_p9_identifiers(f):
     return _names(f).select("name", p.is_identifier(n).alias("identifier"), p.is_type_name(n).alias("type_name"), p.sanitized_identifier(n).alias("clean"))
 
 
-@query("p8_length_limits", """SELECT doc_id, CASE WHEN lang <> 'en' AND strlen(text) > 200 THEN 'description' ELSE '' END AS too_long, strlen(substr(text, 1, 29)) > 30 AS label_too_long FROM documents""")
+@query("p8_length_limits", """SELECT doc_id, CASE WHEN lang <> 'en' AND strlen(text) > 200 THEN 'description' ELSE '' END AS too_long, coalesce(strlen(text) > 30, false) AS label_too_long FROM documents""")
 def p8_length_limits(f):
     kind = F.when(F.col("lang") == "en", "operation").otherwise("component")
     return _table(f, "documents").select(
-        "doc_id", p.too_long(kind, F.col("text"), F.lit("short")).alias("too_long"), p.label_too_long(F.substring("text", 1, 29)).alias("label_too_long")
+        "doc_id", p.too_long(kind, F.col("text"), F.lit("short")).alias("too_long"), p.label_too_long(F.col("text")).alias("label_too_long")
     )
 
 

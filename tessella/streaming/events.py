@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.runs import numbered_runs
+
 
 def model_events(event: DataFrame) -> DataFrame:
     """Create and modify events of model files; baselines and temporary files are left out. Batch and stream."""
@@ -33,17 +35,31 @@ def debounced(event: DataFrame, gap: str = "300 milliseconds", delay: str | None
     for each model, group by ``model`` too.
     """
     rows = event if delay is None else event.withWatermark("ts", delay)
-    bursts = rows.groupBy(F.session_window("ts", gap).alias("w")).agg(F.max_by("path", "ts").alias("path"), F.count("*").alias("events"))
+    bursts = rows.groupBy(F.session_window("ts", gap).alias("w")).agg(F.max_by("path", F.struct("ts", "path")).alias("path"), F.count("*").alias("events"))
     return bursts.select(F.col("w.end").alias("fires"), "path", "events")
 
 
 def debounced_by_model(event: DataFrame, gap: str = "500 milliseconds", delay: str | None = None) -> DataFrame:
     """(model, fires, path, events): as ``debounced``, with a timer for each model."""
     rows = event if delay is None else event.withWatermark("ts", delay)
-    bursts = rows.groupBy("model", F.session_window("ts", gap).alias("w")).agg(F.max_by("path", "ts").alias("path"), F.count("*").alias("events"))
+    bursts = rows.groupBy("model", F.session_window("ts", gap).alias("w")).agg(F.max_by("path", F.struct("ts", "path")).alias("path"), F.count("*").alias("events"))
     return bursts.select("model", F.col("w.end").alias("fires"), "path", "events")
 
 
+def debounced_log(event: DataFrame, gap_seconds: float, chunk_seconds: int = 86_400) -> DataFrame:
+    """(model, fires, path, events): as ``debounced``, over a log of any length. Batch.
+
+    One timer for all paths of a model makes the log one long sequence; it is
+    read in stretches of time that meet only at their ends.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast(event.schema["ts"].dataType)
+    micros = lambda ts: F.timestamp_diff("MICROSECOND", epoch, ts)
+    late = lambda before, row: micros(row["ts"]) - micros(before["ts"]) >= int(gap_seconds * 1_000_000)
+    runs = numbered_runs(event, ["model"], ["ts", "path"], F.floor(micros(F.col("ts")) / (chunk_seconds * 1_000_000)), ["ts"], late)
+    bursts = runs.groupBy("model", "run").agg(F.max("ts").alias("_last"), F.max_by("path", F.struct("ts", "path")).alias("path"), F.count("*").alias("events"))
+    return bursts.select("model", (F.col("_last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("fires"), "path", "events")
+
+
 def changed_content(event: DataFrame) -> DataFrame:
     """Events whose content differs from the last known content of their path. Batch."""
     w = Window.partitionBy("model", "path").orderBy("seq")
