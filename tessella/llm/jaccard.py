@@ -34,7 +34,8 @@ from . import textkernel as tk
 from .common import cut, written
 from .components import connected_components
 
-BLOCK = 256
+#: Smallest and largest block of a candidate group; between them a group has about PARTS blocks, whose pairs go to different tasks.
+BLOCK, LARGEST_BLOCK, PARTS = 64, 512, 40
 #: Parts in which the members of a candidate group meet its size.
 SALTS = 16
 
@@ -220,7 +221,7 @@ def document_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", th
         .join(sized, ["component", "salt"])
         .drop("salt")
         .join(sets.select(F.col("rep").alias("node"), "copies"), "node")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("blocks", F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / PARTS, F.lit(BLOCK)), F.lit(LARGEST_BLOCK))).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     )
     if keys is None:
