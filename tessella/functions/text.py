@@ -191,3 +191,19 @@ def ranked_matches(names: DataFrame, query: str) -> DataFrame:
     """Names that contain the query, any case: those that start with it first, then by name."""
     low, q = F.lower("name"), query.lower()
     return names.where(F.contains(low, F.lit(q))).withColumn("starts", F.startswith(low, F.lit(q)))
+
+
+def compact(node: DataFrame, left_out: tuple[str, ...] = ("x", "y", "node_type", "notes")) -> DataFrame:
+    """(model, text): each node as JSON without positions and notes, and without fields that are null, empty strings, empty arrays or empty maps.
+
+    Only a field itself is tested: a struct all of whose fields fall away stays, as an empty object.
+    """
+
+    def some(field) -> Column:
+        c = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        empty = c == "" if kind == "string" else F.size(c) == 0 if kind in ("array", "map") else F.lit(False)
+        return F.when(~F.coalesce(empty, F.lit(False)), c).alias(field.name)
+
+    fields = [some(f) for f in node.schema.fields if f.name not in ("model", *left_out)]
+    return node.select("model", F.to_json(F.struct(*fields)).alias("text"))
