@@ -214,11 +214,11 @@ def document_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     least = banded.groupBy("band", "h").agg(F.min("id").alias("low"), F.count("*").alias("members")).where("members > 1")
     stars = banded.join(least, ["band", "h"]).where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
     groups = connected_components(stars)
-    # a large group is spread over tasks, not read by one
+    # a large group is spread over tasks, not read by one; merged, since a broadcast of the members would leave all rows of a group where its size is
     sized = groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = (
         groups.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        .join(sized, ["component", "salt"])
+        .join(sized.hint("merge"), ["component", "salt"])
         .drop("salt")
         .join(sets.select(F.col("rep").alias("node"), "copies"), "node")
         .withColumn("blocks", F.ceil(F.col("size") / F.least(F.greatest(F.col("size") / PARTS, F.lit(BLOCK)), F.lit(LARGEST_BLOCK))).cast("int"))
