@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_catalog
-from .common import whole
+from .common import cut, whole
 
 # Equivalent spellings, each with the form that stands for it.
 SPELLINGS = (
@@ -100,11 +100,13 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     of the catalogue does. With others in ``known`` give a wider pattern, or None
     for all lines.
     """
+    # both lookups are cut, so that the joins deal their sides anew and a digest of many copies can be split
+    known = cut(known)
     t = whole(F.col(text).cast("string"))
     blob = F.sha2(t, 256).alias("_blob")
     base = docs.select(F.col(doc_id).alias("doc_id"), digest(t).alias("digest"), blob)
     lines = F.split(t, "\n") if notice is None else F.filter(F.split(t, "\n"), lambda x: F.lower(x).rlike(notice))
-    hits = (
+    hits = cut(
         docs.select(blob, lines.alias("lines"))
         .where(F.size("lines") > 0)
         .dropDuplicates(["_blob"])
