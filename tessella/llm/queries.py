@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, spans, suffix_dedup, toxicity, twins
+from . import audit, conversations, decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, sharding, spans, suffix_dedup, toxicity, twins
 from .common import table
 
 
@@ -85,6 +85,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *asked, base_failed.alias("base_failed"), "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.plan(table(spark, sf_dir, "documents"), n_shards=24, seed=17)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    told = conversations.repaired(conversations.damaged(given), given.select("conv_id").distinct())
+    return told.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
 def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -97,6 +114,9 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_decontamination": op9_decontamination,
         "op10_quality_rules": op10_quality_rules,
+        "op11_sharding": op11_sharding,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 

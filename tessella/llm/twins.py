@@ -142,10 +142,84 @@ FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN notices USING
 """
 
 
+#: CRC-32 by half bytes, the lower half first, with a table made from its polynomial.
+CHECKSUMS = """
+WITH crc AS (
+  SELECT list_transform(range(16), lambda i: list_reduce(list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), docs AS (
+  SELECT row_number() OVER () AS k, doc_id, source, encode(coalesce(text, '')) AS raw FROM documents
+), halves AS (
+  SELECT k, doc_id, source, octet_length(raw) + 8 AS size,
+    list_transform(string_split(regexp_replace(hex(raw), '(.)(.)', '\\2\\1', 'g'), ''), lambda h: CASE WHEN h = '' THEN 0 ELSE instr('0123456789ABCDEF', h) - 1 END::BIGINT) AS h
+  FROM docs
+), rows_ AS (
+  SELECT k, doc_id, source, size, CASE WHEN size = 8 THEN 0 ELSE
+    xor(list_reduce(list_prepend(4294967295::BIGINT, h), lambda c, x: xor(c // 16, t[xor(c % 16, x) + 1])), 4294967295) END AS text_crc32
+  FROM halves, crc
+)"""
+
+SHARDS = f"""{CHECKSUMS}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, 'null')), size, text_crc32) AS r, count(*) OVER (PARTITION BY source) AS n FROM rows_
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, r) - 1 AS spot, count(*) OVER () AS n_all FROM ranked
+), dealt AS (
+  SELECT *, (24 * spot) // n_all AS shard FROM placed
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY spot) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM dealt
+"""
+
+AUDIT = """
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs
+), says AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 200,
+    100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > first_id, false)] AS f
+  FROM words LEFT JOIN says USING (doc_id)
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, step, ascii(filter_order[step]) - 64 AS bit, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), cells AS (
+  SELECT part, f, good, toxic, count(*) AS n FROM failed GROUP BY ALL
+), judged AS (
+  SELECT part, filter_order, step, n, good, toxic, f[bit] AS fails, len(list_filter(f, lambda x: x)) AS n_fails,
+    coalesce(list_bool_or(list_transform(earlier, lambda b: f[b])), false) AS gone
+  FROM cells, steps
+), told AS (
+  SELECT part, filter_order, step,
+    sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant,
+    sum(n) FILTER (fails AND n_fails = 1) AS unique_fails, sum(n) FILTER (fails AND NOT gone AND good = 1) AS good_lost, sum(n) FILTER (fails AND NOT gone AND toxic = 1) AS toxic_lost
+  FROM judged GROUP BY ALL
+), zeros AS (
+  SELECT part, filter_order, step, filter_order[step] AS l, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+    coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost FROM told
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, l)::BIGINT AS shapley
+FROM zeros
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_license_scan": LICENSES,
         "op4_secret_scan": SECRETS,
         "op9_decontamination": DECONTAMINATION,
         "op10_quality_rules": WORD_RULES,
+        "op11_sharding": SHARDS,
+        "op12_filter_audit": AUDIT,
     }
