@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import change_queries, flow_queries, graph_queries, rule_queries, task_queries, text_queries, view_queries  # noqa: F401
+from . import change_queries, flow_queries, graph_queries, layout_queries, rule_queries, task_queries, text_queries, view_queries  # noqa: F401
 from .registry import as_callables, as_sql
 
 

@@ -1,4 +1,4 @@
-"""Snapshot differences, drift and event streams in batch form."""
+"""Snapshot differences, drift and event streams, in batch form and live."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import diff, drift
 from tessella.streaming import events as ev
+from tessella.streaming import live
 
 from .registry import query
 from .relations import edge, node
@@ -167,3 +168,52 @@ def k7_single_session(f):
         F.lit("main").alias("model"), F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "start").otherwise("done").alias("kind")
     )
     return ev.accepted_starts(rows).select("session_key", "seq", "accepted")
+
+
+def _live(f, content: str = "CAST(NULL AS STRING)"):
+    """The fixture's model events as a change log; its timestamps become instants."""
+    rows = ev.model_events(f["file_event"])
+    return rows.select("model", "seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "path", F.expr(content).alias("content"))
+
+
+@query("k2_first_seen_live", MODEL_EVENTS + """
+SELECT path, min(ts) AS created FROM good GROUP BY path""")
+def k2_first_seen_live(f):
+    told = live.replayed(_live(f), lambda e: live.first_seen(ev.model_events(e)))
+    return told.select("path", F.col("created").cast(f["file_event"].schema["ts"].dataType).alias("created"))
+
+
+@query("k3_debounce_live", MODEL_EVENTS + """, gap AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 1 MINUTE THEN 0 ELSE 1 END AS fresh FROM good),
+grp AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS g FROM gap)
+SELECT max(ts) + INTERVAL 1 MINUTE AS fires, last(path ORDER BY ts, path) AS path, count(*) AS events FROM grp GROUP BY g""")
+def k3_debounce_live(f):
+    told = live.replayed(_live(f), lambda e: ev.debounced_by_model(ev.model_events(e), "1 minute", "1 minute"))
+    return told.select(F.col("fires").cast(f["file_event"].schema["ts"].dataType).alias("fires"), "path", "events")
+
+
+@query("k4_debounce_by_model_live", MODEL_EVENTS + """, gap AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM good),
+grp AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS g FROM gap)
+SELECT path, max(ts) + INTERVAL 1 HOUR AS fires, count(*) AS events FROM grp GROUP BY path, g""")
+def k4_debounce_by_model_live(f):
+    by_path = _live(f).withColumn("model", F.col("path"))
+    told = live.replayed(by_path, lambda e: ev.debounced_by_model(ev.model_events(e), "1 hour", "1 minute"))
+    return told.select("path", F.col("fires").cast(f["file_event"].schema["ts"].dataType).alias("fires"), "events")
+
+
+@query("k5_self_writes_live", MODEL_EVENTS + """, prev AS (SELECT seq, path, CAST(floor(value) AS BIGINT) % 3 AS content, lag(CAST(floor(value) AS BIGINT) % 3) OVER (PARTITION BY path ORDER BY ts, seq) AS before FROM good)
+SELECT seq, path, CAST(content AS STRING) AS content FROM prev WHERE content IS DISTINCT FROM before""")
+def k5_self_writes_live(f):
+    told = live.replayed(_live(f, "CAST(floor(value) % 3 AS STRING)"), lambda e: live.changed_content(ev.model_events(e)))
+    return told.select("seq", "path", "content")
+
+
+@query("k7_single_session_live", """s AS (SELECT user_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'done' END AS kind FROM events WHERE event_type IN ('signup', 'purchase')),
+p AS (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, seq) AS before FROM s)
+SELECT CAST(user_id AS STRING) AS session_key, seq, before IS DISTINCT FROM 'start' AS accepted FROM p WHERE kind = 'start'""")
+def k7_single_session_live(f):
+    e = f.spark.read.parquet(f"{f.sf_dir}/events.parquet").where("event_type IN ('signup', 'purchase')")
+    rows = e.select(
+        F.lit("main").alias("model"), F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "start").otherwise("done").alias("kind"),
+    )
+    return live.replayed(rows, live.accepted_starts).select("session_key", "seq", "accepted")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions import predicates as p
@@ -166,6 +168,23 @@ def j8_fuzzy_match(f):
     return fuzzy.resolve(hints, node(f))
 
 
+ASKED = """asked(k, name) AS (
+ SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN concat('container-', CAST(s_nationkey AS STRING)) WHEN 1 THEN s_name WHEN 2 THEN lower(s_name) WHEN 3 THEN substr(s_name, 10, 8)
+  WHEN 4 THEN concat('the ', lower(n_name), ' store') WHEN 5 THEN substr(n_name, 1, 2) WHEN 6 THEN concat(s_name, ' and ', n_name) ELSE concat('no ', s_name) END FROM supplier JOIN nation ON s_nationkey = n_nationkey
+ UNION ALL SELECT 1000000000 + p_partkey, CASE p_size % 3 WHEN 0 THEN upper(substr(p_name, 3, 9)) WHEN 1 THEN p_brand ELSE concat('a ', p_name) END FROM part)"""
+
+
+@query("j8_fuzzy_table", ASKED + """, exact AS (SELECT k, n.id, n.ord, CASE WHEN n.id = h.name THEN 1 WHEN n.name = h.name THEN 3 ELSE 4 END AS tier FROM asked h JOIN nodes n ON n.id = h.name UNION ALL
+ SELECT k, n.id, n.ord, CASE WHEN n.name = h.name THEN 3 ELSE 4 END FROM asked h JOIN nodes n ON lower(n.name) = lower(h.name)),
+rest AS (SELECT * FROM asked WHERE k NOT IN (SELECT k FROM exact)),
+hits AS (SELECT * FROM exact UNION ALL SELECT k, n.id, n.ord, 5 FROM rest h JOIN nodes n ON contains(lower(n.name), lower(h.name)) OR contains(lower(h.name), lower(n.name)))
+SELECT k, id, tier FROM hits QUALIFY row_number() OVER (PARTITION BY k ORDER BY tier, ord) = 1""")
+def j8_fuzzy_table(f):
+    tables = {t: f._source(t) for t in ("supplier", "nation", "part")}
+    text = re.sub(r"\b(FROM|JOIN) (supplier|nation|part)\b", r"\1 {\2}", ASKED.removeprefix("asked(k, name) AS (").removesuffix(")")).replace("SELECT s_suppkey, CASE", "SELECT s_suppkey AS k, CASE").replace("ELSE concat('no ', s_name) END FROM", "ELSE concat('no ', s_name) END AS name FROM")
+    return fuzzy.resolve(f.spark.sql(text, **tables).withColumn("model", F.lit("main")), node(f))
+
+
 @query("o1_name_rank", """SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS place FROM nodes WHERE kind IN ('system', 'container', 'component')""")
 def o1_name_rank(f):
     from pyspark.sql import Window

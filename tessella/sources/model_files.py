@@ -10,7 +10,10 @@ ending.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -346,30 +349,34 @@ def documents(rel: dict[str, DataFrame], model: DataFrame) -> DataFrame:
     return out.select("model", _with(F.col("head"), *fields).alias("text"))
 
 
-def write_documents(docs: DataFrame, folder: str) -> None:
-    """Write (model, text) as one file for each model, replacing older ones only when all are written.
+def _put(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    Texts are staged beside the folder by Spark, a directory for each model;
-    then the driver renames each staged file, so that no reader sees half a
-    document.
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for frame in frames:
+            for model, text in zip(frame["model"], frame["text"], strict=True):
+                draft = f"{base}/.{model}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(draft) as file:
+                    file.write((text or "").encode("utf-8"))
+                if store.type_name == "local":  # a checksum of the file before would not fit
+                    Path(f"{base}/.{model}{ENDING}.crc").unlink(missing_ok=True)
+                store.move(draft, f"{base}/{model}{ENDING}")
+            yield frame[["model"]]
+
+    return put
+
+
+def write_documents(docs: DataFrame, folder: str) -> int:
+    """Write (model, text) as one file for each model and tell how many; ``folder`` is a URI or an absolute path.
+
+    Tasks write each text beside its place and move it there in one step, so a
+    reader sees the old document or the new one; a task that runs twice writes
+    the same. For commits over several documents, refusals and deletion see
+    ``store``.
     """
-    spark = docs.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
-    stage = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
-    docs.repartition("model").select("model", "text").write.partitionBy("model").text(stage)
-    files = path(stage).getFileSystem(conf)
-    files.mkdirs(path(folder))
-    for entry in files.listStatus(path(stage)):
-        name = entry.getPath().getName()
-        if not name.startswith("model="):
-            continue
-        (part,) = [p.getPath() for p in files.listStatus(entry.getPath()) if p.getPath().getName().startswith("part-")]
-        target = path(folder, jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.removeprefix("model=")) + ENDING)
-        if files.exists(target):
-            files.delete(target, False)
-        files.rename(part, target)
-    files.delete(path(stage), True)
+    return docs.select("model", "text").mapInPandas(_put(folder), "model string").count()
 
 
 def snapshot(history: DataFrame | None, docs: DataFrame) -> DataFrame:

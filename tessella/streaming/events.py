@@ -26,21 +26,23 @@ def first_seen_stream(event: DataFrame) -> DataFrame:
     return event.dropDuplicates(["path"])
 
 
-def debounced(event: DataFrame, gap: str = "300 milliseconds", delay: str | None = None) -> DataFrame:
-    """(fires, path, events): one row for each burst, at the end of a quiet gap, with the last event's path.
+def debounced(event: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
+    """(fires, path, events): one row for each burst, at the end of a quiet gap, with the last event's path. Batch.
 
-    The timer is shared by all paths. Batch, or stream with ``delay`` as
-    watermark: a burst is emitted once the watermark has passed its end. The
-    bursts of all models share one session key by definition; with one timer
-    for each model, group by ``model`` too.
+    The timer is shared by all paths, so this is one session key; ``debounced_log``
+    reads a long log in stretches, and a stream is keyed by its log
+    (``debounced_by_model``).
     """
-    rows = event if delay is None else event.withWatermark("ts", delay)
-    bursts = rows.groupBy(F.session_window("ts", gap).alias("w")).agg(F.max_by("path", F.struct("ts", "path")).alias("path"), F.count("*").alias("events"))
+    bursts = event.groupBy(F.session_window("ts", gap).alias("w")).agg(F.max_by("path", F.struct("ts", "path")).alias("path"), F.count("*").alias("events"))
     return bursts.select(F.col("w.end").alias("fires"), "path", "events")
 
 
 def debounced_by_model(event: DataFrame, gap: str = "500 milliseconds", delay: str | None = None) -> DataFrame:
-    """(model, fires, path, events): as ``debounced``, with a timer for each model."""
+    """(model, fires, path, events): as ``debounced``, with a timer for each model.
+
+    Batch, or stream with ``delay`` as watermark: a burst is told once the
+    watermark has passed its end.
+    """
     rows = event if delay is None else event.withWatermark("ts", delay)
     bursts = rows.groupBy("model", F.session_window("ts", gap).alias("w")).agg(F.max_by("path", F.struct("ts", "path")).alias("path"), F.count("*").alias("events"))
     return bursts.select("model", F.col("w.end").alias("fires"), "path", "events")

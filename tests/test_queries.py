@@ -41,5 +41,9 @@ def test_query_equals_its_twin(spark, duck, name):
     assert comparable(got.columns, got.collect()) == comparable(columns, want.fetchall())
 
 
+#: SQL can't say these; ``test_planar.py`` holds them against brute force.
+WITHOUT_TWIN = {"l11_faces", "l11_triangles", "l12_positions"}
+
+
 def test_every_query_has_a_twin():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - WITHOUT_TWIN == set(catalog.oracle_sql())
