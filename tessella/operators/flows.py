@@ -84,6 +84,18 @@ def move_step(step: DataFrame, flow_id: str, step_id: str, place: int) -> DataFr
     return rows.withColumn("_fresh", fresh).withColumn("pos", F.when(F.col("_near"), F.col("_fresh").cast("long")).otherwise(F.col("pos"))).select(*step.columns)
 
 
+def update_steps(step: DataFrame, change: DataFrame) -> DataFrame:
+    """Steps at any depth with new values: ``change`` has (model, flow_id, step_id) once each and the columns to set, null included.
+
+    Changes of unknown steps do nothing; other columns, places and nested steps stay.
+    """
+    keys = ["model", "flow_id", "step_id"]
+    fields = [c for c in change.columns if c not in keys]
+    known = change.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_set"))
+    rows = step.join(known, keys, "left")
+    return rows.select(*[F.when(F.col("_set"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in step.columns])
+
+
 def delete_step(step: DataFrame, flow_id: str, step_id: str) -> DataFrame:
     """Without a step and all steps nested in it."""
     inside = closure(_keyed(step)).where(F.col("ancestor") == f"{flow_id}{_SEP}{step_id}").select("model", F.col("descendant").alias("_id"))

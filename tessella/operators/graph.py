@@ -146,16 +146,19 @@ def components(node: DataFrame, edge: DataFrame) -> DataFrame:
     """(model, id, component): smallest node id reachable over undirected edges.
 
     Alternating large-star and small-star steps; each round is two aggregations
-    and two joins, whatever the diameter.
+    and two joins, whatever the diameter. Minima are cut before they are joined,
+    so that the many edges of one hub can be split there. Labels only fall, so
+    the rounds end.
     """
     ends = resolve_endpoints(edge, node)
     now = cut(ends.where("source <> target").select("model", F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct())
     seen = None
     while True:
         both = now.unionByName(now.select("model", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("model", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("model", "u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, ["model", "u"]).where("v > u").select("model", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("model", "u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        lowest = cut(large.groupBy("model", "u").agg(F.min("v").alias("m")))
         small = large.join(lowest, ["model", "u"]).select("model", F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = cut(small.select("model", "e.u", "e.v").where("u <> v").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("model", "u", "v").cast("decimal(38,0)"))).first()

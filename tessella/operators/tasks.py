@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella import places
 from tessella.schema import CODE_KINDS, DONE
 
 from .graph import closure, resolve_endpoints
@@ -190,4 +191,4 @@ def completion(node: DataFrame) -> DataFrame:
 
 def numbered(unit: DataFrame) -> DataFrame:
     """Unit rows with their place in document order."""
-    return unit.withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy("ord", "id")))
+    return places.numbered(unit, ["model"], [F.col("ord"), F.col("id")])

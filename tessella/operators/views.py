@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.places import numbered
 from tessella.schema import CODE_KINDS
 
 from .graph import resolve_endpoints
@@ -119,7 +120,7 @@ def grid(size: DataFrame, gap: int = 40, most_columns: int = 4) -> DataFrame:
 
 
 def by_distance(edge: DataFrame, node: DataFrame) -> DataFrame:
-    """(model, id, place): edges by squared distance of their ends' positions."""
+    """(model, id, d, place): edges by squared distance of their ends' positions, ties by id."""
     ends = resolve_endpoints(edge, node, "x", "y")
     d = (F.col("s_x") - F.col("t_x")) * (F.col("s_x") - F.col("t_x")) + (F.col("s_y") - F.col("t_y")) * (F.col("s_y") - F.col("t_y"))
-    return ends.withColumn("d", d).select("model", "id", "d", F.row_number().over(Window.partitionBy("model").orderBy("d", "id")).alias("place"))
+    return numbered(ends.select("model", "id", d.alias("d")), ["model"], [F.col("d"), F.col("id")])

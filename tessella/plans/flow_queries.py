@@ -39,3 +39,13 @@ def r14_label_migration(f):
 @query("r13_duplicate_steps", """SELECT flow_id, step_id FROM (SELECT flow_id, concat('step-', CAST(length(label) % 5 AS STRING)) AS step_id FROM flow_step) s GROUP BY 1, 2 HAVING count(*) > 1""")
 def r13_duplicate_steps(f):
     return flows.duplicate_steps(f["flow_step"].withColumn("step_id", F.concat(F.lit("step-"), (F.length("label") % 5).cast("string"))))
+
+
+@query("r12_update_steps", """SELECT flow_id, step_id, parent_step_id, branch_idx, pos, CASE WHEN length(flow_id) % 2 = 0 AND step_id IN ('step-1', 'step-2') THEN concat('new ', label) ELSE label END AS label,
+ CASE WHEN length(flow_id) % 2 = 0 AND step_id IN ('step-1', 'step-2') THEN NULL ELSE description END AS description FROM flow_step""")
+def r12_update_steps(f):
+    step = f["flow_step"]
+    change = step.where("length(flow_id) % 2 = 0 AND step_id IN ('step-1', 'step-2')").select(
+        "model", "flow_id", "step_id", F.concat(F.lit("new "), "label").alias("label"), F.lit(None).cast("string").alias("description")
+    )
+    return flows.update_steps(step, change).select("flow_id", "step_id", "parent_step_id", "branch_idx", "pos", "label", "description")
