@@ -3,16 +3,21 @@
 The token share p of each source is raised to an exponent a in [0, 1] and
 normalised: w = p**a / sum(p**a). The exponent is found by bisection so that the
 entropy of w meets a target, then raised if a source would be read more often
-than ``max_repeats`` times. Both conditions need only sums over the sources (of
-p**a and of p**a * ln p) and the smallest share, so each step cuts the interval
-at several points with one aggregation over the table of source totals; only the
-sums reach the driver, however many sources there are. Each source gets
-w * budget tokens: as many whole passes as fit, and a part of one more.
+than ``max_repeats`` times. The target is a share of the largest entropy
+(``entropy_share``), or what the natural shares have and a part of what they miss
+to the largest (``entropy_gain``), which always binds. Both conditions need only
+sums over the sources (of p**a and of p**a * ln p) and the extreme shares, so
+each step cuts the interval at several points with one aggregation over the table
+of source totals; only the sums reach the driver, however many sources there are.
+Each source gets w * budget tokens, in whole numbers by largest remainder: as
+many whole passes as fit, and a part of one more. With ``cover``, the budget is
+the least that reads every source whole at least once, so no document is lost.
 
 A pass is a block permutation: documents fall into blocks of about
-``block_tokens`` by hash, blocks into groups (the square root of the number of
-blocks), groups are ordered by a hash of (pass, group), blocks inside a group and
-documents inside a block likewise. Running token sums over the groups of a
+``block_tokens`` by hash (of the id and of where the row was read, so that null
+and repeated ids fill all blocks too), blocks into groups (the square root of the
+number of blocks), groups are ordered by a hash of (pass, group), blocks inside a
+group and documents inside a block likewise. Running token sums over the groups of a
 source, the blocks of a group and the documents of a block give each copy its
 place, so no task sorts a whole source, and what a task sorts grows with the
 square root of the largest source at most. The last pass ends before the budget
@@ -33,6 +38,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.places import numbered
+
 from .common import whole, written
 
 #: Points at which one aggregation cuts the interval of the exponent, and such steps: 33**8 parts.
@@ -70,21 +77,26 @@ def _smallest(totals: DataFrame, holds, low: float, high: float) -> float:
     return high
 
 
-def solve(totals: DataFrame, total: int, budget: int, entropy_share: float | None = None, max_repeats: float | None = None) -> float:
-    """Exponent for a target entropy (as a share of that of equal weights) under a repetition limit; ``totals`` has a row (source, total) for each source."""
+def solve(totals: DataFrame, total: int, budget: int | None, entropy_share: float | None = None, max_repeats: float | None = None, entropy_gain: float | None = None) -> float:
+    """Exponent for a target entropy under a repetition limit; ``totals`` has a row (source, total) for each source.
+
+    Without a budget, it is the least that covers every source.
+    """
     shares = totals.where("total > 0").select((F.col("total") / F.lit(float(max(total, 1)))).alias("p"))
-    n, smallest = shares.agg(F.count("*"), F.min("p")).first()
+    n, smallest, largest = shares.agg(F.count("*"), F.min("p"), F.max("p")).first()
     if n < 2:
         return 1.0
     entropy = lambda a, s, l: math.log(s) - a * l / s  # noqa: E741, E731
     exponent = 1.0
-    if entropy_share is not None:
-        target = entropy_share * math.log(n)
-        if entropy(1.0, *_sums(shares, [1.0])[0]) < target:
+    natural = entropy(1.0, *_sums(shares, [1.0])[0])
+    target = natural + entropy_gain * (math.log(n) - natural) if entropy_gain is not None else entropy_share and entropy_share * math.log(n)
+    if target is not None:
+        if natural < target:
             exponent = _smallest(shares, lambda a, s, l: entropy(a, s, l) <= target, 0.0, 1.0)  # noqa: E741
     if max_repeats is not None:
-        # w / p = p**(a - 1) / sum(p**a) is largest for the smallest share
-        within = lambda a, s, l: smallest ** (a - 1) / s * budget / total <= max_repeats  # noqa: E741, E731
+        # w / p = p**(a - 1) / sum(p**a) is largest for the smallest share; the covering budget gives the largest source one pass
+        repeats = lambda a, s: (largest / smallest) ** (1 - a) if budget is None else smallest ** (a - 1) / s * budget / total
+        within = lambda a, s, l: repeats(a, s) <= max_repeats  # noqa: E741, E731
         if not within(exponent, *_sums(shares, [exponent])[0]):
             exponent = _smallest(shares, within, exponent, 1.0)
     return exponent
@@ -97,32 +109,49 @@ def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     )
 
 
-def plan(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", entropy_gain: float | None = None, cover: bool = False) -> DataFrame:
     """A row for each copy of a document: (doc_id, source, epoch, block, position, n_tokens, mix_rank).
 
     ``position`` is the token offset in its source's sequence; reading all copies
     by ``mix_rank`` (position over the source's budget) interleaves the sources.
-    The default budget is the number of tokens there are.
+    The default budget is the number of tokens there are; with ``cover`` it is
+    the least that reads every source whole.
     """
-    tokens = written(counted(docs, doc_id, text, source), "tokens")
-    return placed(tokens, written(tokens.groupBy("source").agg(F.sum("tokens").alias("total")), "sources"), budget, entropy_share, max_repeats, block_tokens, seed)
+    tokens = written(counted(docs, doc_id, text, source).withColumn("_key", F.monotonically_increasing_id()), "tokens")
+    return placed(tokens, totals_of(tokens), budget, entropy_share, max_repeats, block_tokens, seed, entropy_gain, cover).drop("_key")
+
+
+def totals_of(tokens: DataFrame) -> DataFrame:
+    return written(tokens.groupBy("source").agg(F.sum("tokens").alias("total")), "sources")
+
+
+def dealt_shares(some: DataFrame, mix: Mix, cover: bool) -> DataFrame:
+    """(source, total, share): whole tokens that add up to the budget, by largest remainder; with ``cover`` no less than the source has."""
+    exact = mix.weight(F.col("total")) * F.lit(float(mix.budget))
+    parts = written(some.select("source", "total", F.floor(exact).cast("long").alias("share"), (F.floor(exact) - exact).alias("short")), "shares")
+    left = mix.budget - (parts.agg(F.sum("share")).first()[0] or 0)
+    ranked = numbered(parts, [], [F.col("short"), F.col("source")])
+    share = F.col("share") + F.when(F.col("place") <= left, 1).otherwise(0)
+    return ranked.select("source", "total", (F.greatest(share, "total") if cover else share).alias("share"))
 
 
-def placed(tokens: DataFrame, totals: DataFrame, budget: int | None, entropy_share: float | None, max_repeats: float | None, block_tokens: int = 1 << 18, seed: int = 17) -> DataFrame:
-    """The plan for (doc_id, source, tokens) rows, which may have more columns, and their (source, total) rows."""
+def placed(tokens: DataFrame, totals: DataFrame, budget: int | None, entropy_share: float | None, max_repeats: float | None, block_tokens: int = 1 << 18, seed: int = 17, entropy_gain: float | None = None, cover: bool = False) -> DataFrame:
+    """The plan for (doc_id, source, tokens, _key) rows, which may have more columns, and their (source, total) rows; ``_key`` tells rows apart."""
     total = totals.agg(F.sum("total")).first()[0] or 0
-    budget = total if budget is None else budget
-    exponent = solve(totals, total, budget, entropy_share, max_repeats)
+    budget = None if cover else total if budget is None else budget
+    exponent = solve(totals, total, budget, entropy_share, max_repeats, entropy_gain)
     some = totals.where("total > 0")
-    norm = some.agg(F.sum(F.pow(F.col("total") / float(max(total, 1)), F.lit(exponent)))).first()[0] or 1.0
+    share = F.col("total") / float(max(total, 1))
+    norm, largest = some.agg(F.sum(F.pow(share, F.lit(exponent))), F.max(share)).first()
+    norm, largest = norm or 1.0, largest or 1.0
+    budget = math.ceil(total * norm * largest ** (1 - exponent) - 1e-6) if budget is None else budget
     mix = Mix(exponent, norm, total, budget)
-    share = F.floor(mix.weight(F.col("total")) * F.lit(float(budget))).cast("long")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / block_tokens)).cast("int")
-    sources = some.select("source", "total", share.alias("share"), blocks.alias("blocks"), F.ceil(F.sqrt(blocks)).cast("int").alias("groups"))
+    sources = dealt_shares(some, mix, cover).select("source", "total", "share", blocks.alias("blocks"), F.ceil(F.sqrt(blocks)).cast("int").alias("groups"))
     sources = sources.withColumn("passes", F.floor(F.col("share") / F.col("total")).cast("int")).withColumn("rest", F.col("share") % F.col("total"))
     salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")).cast("int"))
+    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_key"), F.col("blocks")).cast("int"))
     sizes = dealt.groupBy("source", "block", "groups", "passes", "rest").agg(F.sum("tokens").alias("size"))
     sizes = sizes.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), "block"), F.col("groups")).cast("int"))
     epochs = sizes.withColumn("epoch", F.explode(F.expr("sequence(0, passes)")))
@@ -135,7 +164,7 @@ def placed(tokens: DataFrame, totals: DataFrame, budget: int | None, entropy_sha
     # the pass after the whole ones is read up to the rest of the budget
     used = at.withColumn("before", F.col("_group") + F.col("_inside")).where((F.col("epoch") < F.col("passes")) | (F.col("before") < F.col("rest"))).select("source", "epoch", "block", "before")
     copies = dealt.withColumn("epoch", F.explode(F.expr("sequence(0, passes)"))).join(used, ["source", "epoch", "block"])
-    inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id"), "doc_id", "tokens")
+    inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id"), "doc_id", "tokens", "_key")
     running = copies.withColumn("to", F.col("before") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kept = running.where((F.col("epoch") < F.col("passes")) | (F.col("to") <= F.col("rest")))
     position = F.col("epoch") * F.col("total") + F.col("to") - F.col("tokens")
@@ -145,10 +174,10 @@ def placed(tokens: DataFrame, totals: DataFrame, budget: int | None, entropy_sha
     )
 
 
-def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, block_tokens: int = 1 << 18, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", entropy_gain: float | None = None, cover: bool = False) -> DataFrame:
     """The plan with the text of every copy in a column ``text``."""
     key = F.monotonically_increasing_id().alias("_key")
     keyed = written(docs.select(key, F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), whole(F.col(source).cast("string")).alias("source")), "keyed")
     tokens = written(keyed.select("doc_id", "source", F.regexp_count(whole("text"), F.lit("\\S+")).cast("long").alias("tokens"), "_key"), "tokens")
-    copies = placed(tokens, written(tokens.groupBy("source").agg(F.sum("tokens").alias("total")), "sources"), budget, entropy_share, max_repeats, block_tokens, seed)
+    copies = placed(tokens, totals_of(tokens), budget, entropy_share, max_repeats, block_tokens, seed, entropy_gain, cover)
     return copies.join(keyed.select("_key", "text"), "_key").drop("_key")

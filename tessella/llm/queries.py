@@ -46,7 +46,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents"), entropy_share=0.95, max_repeats=4.0)
+    return mixing.plan(table(spark, sf_dir, "documents"), entropy_gain=0.5, max_repeats=4.0, cover=True)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
