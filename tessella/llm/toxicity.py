@@ -98,9 +98,16 @@ def measures(machine, text: str | None) -> tuple[float, float, float]:
             continue
         if weight > best.get(start, 0.0):
             best[start] = weight
-    for a, b in spared:
-        for start in [s for s in best if a <= s < b]:
-            del best[start]
+    if spared:
+        # matches and exceptions in order of place, walked once: an exception reaches as far as any before it
+        spared.sort()
+        at, reach = 0, 0
+        for start in sorted(best):
+            while at < len(spared) and spared[at][0] <= start:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if start < reach:
+                del best[start]
     total, words = sum(best.values()), 1 + t.count(" ")
     return math.log1p(total), math.log1p(100 * total / (words + 20)), math.log1p(len(best))
 
