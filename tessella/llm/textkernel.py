@@ -6,6 +6,7 @@ bounded size, so that no Python string is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 #: A second table and base, drawn independently, for hashes of twice the length.
 OTHER_VALUE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 OTHER_BASE = U64(int(_rng.integers(2**62, 2**63)) * 2 + 1)
+#: Bytes of a word up to which the polynomial tells words apart; longer ones get a cryptographic hash.
+LONGEST_POLYNOMIAL = 32
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -87,6 +90,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     hashes = span_hashes(prefix(low), starts, ends)
+    # a polynomial modulo a power of two has built collisions between long words, whatever its base
+    for k in np.flatnonzero(ends - starts > LONGEST_POLYNOMIAL).tolist():
+        hashes[k] = U64(int.from_bytes(hashlib.blake2b(low[starts[k] : ends[k]], digest_size=8).digest(), "little"))
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 

@@ -99,3 +99,12 @@ def test_empty_tables(spark):
     (r,) = decontam.contamination(docs, none).collect()
     assert (r.n_words, r.n_hit, list(r["items"])) == (2, 0, [])
     assert decontam.contamination(docs.limit(0), none).collect() == []
+
+
+def test_long_words_that_collide_in_a_polynomial(spark):
+    """5 and 8 in Thue-Morse order and its complement: equal modulo 2**64 for every odd base."""
+    order = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = ("".join("58"[b ^ flip] for b in order) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, "x" + other[1:])], "doc_id long, text string")
+    items = spark.createDataFrame([("a", other)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(docs, items, window=10).collect()} == {1: 0, 2: 1, 3: 0}
