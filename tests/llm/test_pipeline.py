@@ -76,7 +76,7 @@ def order(epoch, doc_id):
     return h - (1 << 64) if h >> 63 else h
 
 
-def mixture(rows, entropy_share=0.95, max_repeats=4.0, block_tokens=1 << 18):
+def mixture(rows, entropy_gain=0.5, max_repeats=4.0, block_tokens=1 << 18):
     """(doc_id, source, epoch, block, position, n_tokens, text) of every copy, for sources of one block each."""
     by_source = defaultdict(list)
     for d, text, source in rows:
@@ -84,17 +84,22 @@ def mixture(rows, entropy_share=0.95, max_repeats=4.0, block_tokens=1 << 18):
     totals = {s: sum(n for _, n, _ in docs) for s, docs in by_source.items()}
     totals = {s: t for s, t in totals.items() if t}
     assert max(totals.values()) <= block_tokens
-    budget = sum(totals.values())
     sizes = list(totals.values())
-    a, target = 1.0, entropy_share * math.log(len(sizes))
-    if entropy(weights(sizes, 1.0)) < target:
-        a = smallest(lambda x: entropy(weights(sizes, x)) <= target, 0.0, 1.0)
-    fits = lambda x: max(w * budget / t for w, t in zip(weights(sizes, x), sizes)) <= max_repeats
+    natural = entropy(weights(sizes, 1.0))
+    target = natural + entropy_gain * (math.log(len(sizes)) - natural)
+    a = smallest(lambda x: entropy(weights(sizes, x)) <= target, 0.0, 1.0)
+    fits = lambda x: (max(sizes) / min(sizes)) ** (1 - x) <= max_repeats
     if not fits(a):
         a = smallest(fits, a, 1.0)
+    assert a < 1
+    w = dict(zip(totals, weights(sizes, a)))
+    budget = math.ceil(max(t / w[s] for s, t in totals.items()) - 1e-6)
+    shares = {s: math.floor(w[s] * budget) for s in totals}
+    for s in sorted(totals, key=lambda s: (shares[s] - w[s] * budget, s))[: budget - sum(shares.values())]:
+        shares[s] += 1
     out = set()
-    for (s, t), w in zip(totals.items(), weights(sizes, a)):
-        passes, rest = divmod(math.floor(w * budget), t)
+    for s, t in totals.items():
+        passes, rest = divmod(max(shares[s], t), t)
         for e in range(passes + (rest > 0)):
             to = 0
             for _, d, n, text in sorted((order(e, d), d, n, text) for d, n, text in by_source[s]):
@@ -137,3 +142,5 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = mixture([(d, masked(t), s) for d, (t, s) in left.items()])
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "epoch", "block", "position", "n_tokens", F.col("text")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+    # mixing repeats and loses nothing
+    assert {r.doc_id for r in got} == set(left) and len(got) > len(left)
