@@ -41,8 +41,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document in the mixture, with its masked text; sources are mixed to 0.95 of the largest entropy and repeat at most four times."""
-    return mixing.mixed(docs, entropy_share=0.95, max_repeats=4.0)
+    """A row for each copy of a document in the mixture, with its masked text.
+
+    The sources' entropy makes up half of what it misses to the largest; the
+    budget reads every document at least once, and none more than four times.
+    """
+    return mixing.mixed(docs, entropy_gain=0.5, max_repeats=4.0, cover=True)
 
 
 STAGES = [
