@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 FILTERS = "ABCDE"
 #: Bit of a filter in a mask of failed filters.
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
@@ -64,8 +66,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType
     told = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), "text").mapInArrow(_facts, f"doc_id {kind.simpleString()}, part string, digest binary, mask int")
-    # repeated rows become one before anything is joined
-    rows = told.groupBy("digest", "doc_id", "part", "mask").agg(F.count("*").alias("n"))
+    # repeated rows become one before anything is joined; written, so that texts are read once
+    rows = written(told.groupBy("digest", "doc_id", "part", "mask").agg(F.count("*").alias("n")), "failures")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.lit(True).alias("_first")).where("doc_id IS NOT NULL")
     # the key holds the id, so the copies of one text are spread
     judged = rows.join(firsts, ["digest", "doc_id"], "left")
