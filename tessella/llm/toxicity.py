@@ -4,9 +4,11 @@ Folding lowers case and maps homoglyphs (Cyrillic, Greek, full width) and digit
 substitutions to plain letters. The lexicon is learned from a bounded sample of
 labelled rows: whole words and word beginnings whose smoothed document
 log-odds are high, each with its log-odds as weight. A match counts at a word's
-beginning, unless an exception phrase covers it. Sums of weights, as they are
-and by text length, go through a small logistic model, fitted on the same
-sample.
+beginning, unless an exception phrase covers it. Exceptions are a few fixed
+phrases and those learned from the sample: a match's word with the word before
+or behind it, where clean rows hold the two at least as often as toxic rows do.
+Sums of weights, as they are and by text length, go through a small logistic
+model, fitted on the same sample.
 
 The sample holds at most ``max_rows`` labelled rows, taken by hash. Labels,
 language, source and id are never inputs of a score. Null and empty texts have
@@ -71,7 +73,7 @@ class Lexicon:
         for term, weight in self.weights.items():
             entries.setdefault(term.rstrip(" "), []).append((len(term.rstrip(" ")), weight, term.endswith(" ")))
         for phrase in self.exceptions:
-            entries.setdefault(folded(phrase) + " ", []).append((len(folded(phrase)), None, True))
+            entries.setdefault(folded(phrase), []).append((len(folded(phrase)), None, True))
         machine = ahocorasick.Automaton()
         for spelling, found in entries.items():
             machine.add_word(spelling, found)
@@ -80,23 +82,19 @@ class Lexicon:
         return machine
 
 
-def measures(machine, text: str | None) -> tuple[float, float, float]:
-    """Logarithms of weight sum, weight per hundred words, and number of matched words."""
-    if not text or not len(machine):
-        return 0.0, 0.0, 0.0
-    t = folded(text) + " "
+def matches(machine, t: str) -> dict[int, float]:
+    """Weight of the heaviest match at each place of a folded text, without what an exception covers."""
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
     for at, n, weight, word in ((at, *entry) for at, found in machine.iter(t) for entry in found):
-        if weight is None:
-            spared.append((at - n, at))
-            continue
         start = at - n + 1
         if start and (t[start - 1].isalnum() or t[start - 1] == "_"):
             continue
         if word and (t[at + 1 : at + 2].isalnum() or t[at + 1 : at + 2] == "_"):
             continue
-        if weight > best.get(start, 0.0):
+        if weight is None:
+            spared.append((start, at + 1))
+        elif weight > best.get(start, 0.0):
             best[start] = weight
     if spared:
         # matches and exceptions in order of place, walked once: an exception reaches as far as any before it
@@ -108,10 +106,55 @@ def measures(machine, text: str | None) -> tuple[float, float, float]:
                 at += 1
             if start < reach:
                 del best[start]
+    return best
+
+
+def measures(machine, text: str | None) -> tuple[float, float, float]:
+    """Logarithms of weight sum, weight per hundred words, and number of matched words."""
+    if not text or not len(machine):
+        return 0.0, 0.0, 0.0
+    t = folded(text) + " "
+    best = matches(machine, t)
     total, words = sum(best.values()), 1 + t.count(" ")
     return math.log1p(total), math.log1p(100 * total / (words + 20)), math.log1p(len(best))
 
 
+def phrases_of(machine, text: str) -> set[str]:
+    """Each match's word with the word before it and with the word behind it, as they stand in the folded text with one space between."""
+    t = folded(text)
+    starts = matches(machine, t)
+    if not starts:
+        return set()
+    words = [w.span() for w in WORD.finditer(t)]
+    out = set()
+    for k, (a, b) in enumerate(words):
+        if a in starts:
+            if k and words[k - 1][1] + 1 == a and t[a - 1] == " ":
+                out.add(t[words[k - 1][0] : b])
+            if k + 1 < len(words) and words[k + 1][0] == b + 1 and t[b] == " ":
+                out.add(t[a : words[k + 1][1]])
+    return out
+
+
+def _phrased(lexicon: Lexicon):
+    """Document counts of the phrases around matches, by label, summed in each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.automaton()
+        seen: Counter[tuple[str, int]] = Counter()
+        if len(machine):
+            for batch in batches:
+                for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if text:
+                        seen.update((phrase, y) for phrase in phrases_of(machine, text))
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["phrase", "y", "n"]
+        )
+
+    return run
+
+
 def _counted(label: int, wanted: frozenset[str] | None):
     """Document counts of terms over the rows of one label, summed in each batch."""
 
@@ -156,6 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     negative = sample.mapInArrow(_counted(0, frozenset(in_toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     in_clean = {r["term"]: r["n"] for r in negative.collect()}
     lexicon = Lexicon(chosen(in_toxic, in_clean, n1, n0, odds))
+    around = sample.mapInArrow(_phrased(lexicon), "phrase string, y int, n long").groupBy("phrase").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic")
+    )
+    harmless = around.where((F.col("clean") >= least) & ((F.col("toxic") + 0.5) / (n1 + 1) <= (F.col("clean") + 0.5) / (n0 + 1)))
+    lexicon.exceptions += tuple(sorted(r["phrase"] for r in harmless.collect()))  # bounded by the sample
     z = sample.mapInArrow(_measured(lexicon, 0), "y int, _a double, _b double, _c double").toPandas()  # at most max_rows rows
     lexicon.beta = logistic(z[["_a", "_b", "_c"]].to_numpy(), z["y"].to_numpy(dtype=float))
     return lexicon

@@ -36,10 +36,10 @@ def plain_measures(lexicon, text):
             if t.startswith(stem, at) and not (at and inside(at - 1)) and not (term.endswith(" ") and inside(at + len(stem))):
                 best[at] = max(best.get(at, 0.0), weight)
     for phrase in lexicon.exceptions:
-        spelling = toxicity.folded(phrase) + " "
+        spelling = toxicity.folded(phrase)
         for at in range(len(t)):
-            if t.startswith(spelling, at):
-                best = {s: w for s, w in best.items() if not at <= s < at + len(spelling) - 1}
+            if t.startswith(spelling, at) and not (at and inside(at - 1)) and not inside(at + len(spelling)):
+                best = {s: w for s, w in best.items() if not at <= s < at + len(spelling)}
     total, words = sum(best.values()), 1 + t.count(" ")
     return math.log1p(total), math.log1p(100 * total / (words + 20)), math.log1p(len(best))
 
@@ -49,7 +49,7 @@ def test_exceptions_against_a_plain_search():
     lexicon = toxicity.Lexicon({"trash ": 2.0, "tras": 1.0, "can ": 1.5, "idiot": 3.0, "a": 0.5}, exceptions=("trash can", "can a trash", "an idiot savant"))
     machine = lexicon.automaton()
     for _ in range(300):
-        text = " ".join(rng.choice(["trash", "can", "a", "idiot", "an", "savant", "idiots", "trasher", "x"]) for _ in range(rng.randrange(0, 14)))
+        text = " ".join(rng.choice(["trash", "can", "a", "idiot", "an", "savant", "idiots", "trasher", "x", "can.", "xtrash"]) for _ in range(rng.randrange(0, 14)))
         assert toxicity.measures(machine, text) == pytest.approx(plain_measures(lexicon, text))
 
 
@@ -59,3 +59,18 @@ def test_two_megabytes_of_one_phrase(piece):
     began = time.perf_counter()
     toxicity.measures(machine, piece * (2_000_000 // len(piece)))
     assert time.perf_counter() - began < 20
+
+
+def test_exceptions_are_learned_from_clean_rows(spark):
+    rng = random.Random(2)
+    filler = lambda: " ".join(rng.choice(["river", "stone", "cloud", "green", "window", "paper"]) for _ in range(12))
+    texts = [(f"{filler()} you trash person {filler()}", 1) for _ in range(60)] + [(filler(), 0) for _ in range(400)]
+    texts += [(f"{filler()} the Tr4sh compactor. {filler()}", 0) for _ in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels)
+    assert "trash compactor" in lexicon.exceptions and "trash person" not in lexicon.exceptions
+    machine = lexicon.automaton()
+    assert toxicity.measures(machine, "a trash compactor, a trash-compactor")[2] == pytest.approx(math.log1p(1))
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    assert all(got[i] == y for i, (_, y) in enumerate(texts))
