@@ -191,3 +191,12 @@ def test_empty_tables(spark):
     assert pii.detect(df).collect() == []
     assert secrets.findings(df)[0].collect() == []
     assert secrets.masked(df).collect() == []
+
+
+def test_the_rule_version_follows_the_rules(monkeypatch):
+    import hashlib
+
+    digest = lambda: hashlib.sha256(f"{secrets.TRIGGER}\n{secrets._scan('text')}".encode()).hexdigest()[:16]
+    assert digest() == secrets.RULE_VERSION
+    monkeypatch.setattr(secrets, "HEX", "[0-9a-f]{40,}")
+    assert digest() != secrets.RULE_VERSION
