@@ -60,10 +60,10 @@ def test_a_rejection_stops_the_cascade(spark):
             assert r.kept == (r.failed_rule is None)
 
 
-def test_cascade_order_follows_rejections_per_second(spark):
+def test_cascade_order_follows_rejections_per_cost(spark):
     df = spark.createDataFrame([(i, "word " * (4 if i % 2 else 400)) for i in range(400)], "doc_id long, text string")
     measured = qr.plan_cascade(df, qr.default_rules()[:1] + qr.default_rules()[2:4])
-    rates = [share / seconds for _, share, seconds in measured]
+    rates = [share / cost for _, share, cost in measured]
     assert rates == sorted(rates, reverse=True) and measured[0][0].name == "too_few_words"
 
 
@@ -71,3 +71,18 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     rules = [r for r, _, _ in qr.plan_cascade(df, qr.default_rules())]
     assert qr.verdicts(df, rules).collect() == []
+
+
+def test_the_order_repeats(spark):
+    df = spark.createDataFrame(texts() * 10, "doc_id long, text string").repartition(4)
+    runs = [[(r.name, share, cost) for r, share, cost in qr.plan_cascade(df, qr.default_rules(), sample_rows=500)] for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    assert set(qr.WORK) == set(qr.STATISTICS)
+
+
+def test_a_need_is_paid_once_and_shared_needs_by_each_rule(spark):
+    df = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    cost = {r.name: c for r, _, c in qr.plan_cascade(df, qr.default_rules(), sample_rows=10)}
+    words = 18 * qr.WORK["_words"][0] + 4 * qr.WORK["n_words"][1]
+    assert cost["too_few_words"] == words
+    assert cost["few_distinct_words"] == words + 4 * qr.WORK["n_distinct_words"][1]
