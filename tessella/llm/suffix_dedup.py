@@ -232,19 +232,18 @@ def _sweep_buckets(length: int, chunk: int = 6000):
 
 
 def _hash_windows(length: int):
-    """(run, offset, window hash) for the runs of hot buckets."""
+    """(run, offset, window digest) for the runs of hot buckets: 128 bits of BLAKE2b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for v, f, doc, anchor, lo, hi, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
-                data = np.frombuffer(text, dtype=np.uint8)
                 start = np.arange(hi - lo + 1)
-                h1 = tk.span_hashes(tk.prefix(data), start, start + length)
-                h2 = tk.span_hashes(tk.prefix(data, other=True), start, start + length, other=True)
+                told = b"".join(hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in start.tolist())
+                h1, h2 = np.frombuffer(told, dtype=np.int64).reshape(-1, 2).T
                 n = len(start)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, x), t) for x, t in ((v, pa.int64()), (f, pa.int64()), (doc, pa.int64()), (anchor, pa.int32()), (copies, pa.int64()))]
-                    + [pa.array(hi - start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    + [pa.array(hi - start, pa.int32()), pa.array(h1), pa.array(h2)],
                     names=["v", "f", "doc_id", "anchor", "copies", "l", "h1", "h2"],
                 )
 

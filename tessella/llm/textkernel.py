@@ -18,12 +18,9 @@ _rng = np.random.default_rng(20240229)
 #: A random odd number for each byte value, and the base of the polynomial.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-#: A second table and base, drawn independently, for hashes of twice the length.
-OTHER_VALUE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-OTHER_BASE = U64(int(_rng.integers(2**62, 2**63)) * 2 + 1)
 #: Bytes of a word up to which the polynomial tells words apart; longer ones get a cryptographic hash.
 LONGEST_POLYNOMIAL = 32
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -32,14 +29,13 @@ IN_WORD = np.zeros(256, dtype=bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 
-def powers(n: int, base: np.uint64 = BASE, sign: int = 1) -> np.ndarray:
-    """base**i (or base**-i) for i < n, modulo 2**64."""
-    key = (int(base), sign)
-    if len(_powers.get(key, ())) < n:
-        steps = np.full(max(n, 1 << 16), base if sign > 0 else U64(pow(int(base), -1, 2**64)), dtype=U64)
+def powers(n: int, sign: int = 1) -> np.ndarray:
+    """BASE**i (or BASE**-i) for i < n, modulo 2**64."""
+    if len(_powers.get(sign, ())) < n:
+        steps = np.full(max(n, 1 << 16), BASE if sign > 0 else U64(pow(int(BASE), -1, 2**64)), dtype=U64)
         steps[0] = 1
-        _powers[key] = np.multiply.accumulate(steps)
-    return _powers[key][:n]
+        _powers[sign] = np.multiply.accumulate(steps)
+    return _powers[sign][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,17 +92,17 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
-def prefix(data: np.ndarray, other: bool = False) -> np.ndarray:
-    """Polynomial prefix sums, for hashes of any span; with ``other`` those of the second hash."""
+def prefix(data: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums, for hashes of any span."""
     out = np.zeros(len(data) + 1, dtype=U64)
-    values = (OTHER_VALUE if other else BYTE_VALUE)[data]
-    values *= powers(len(data), OTHER_BASE if other else BASE)
+    values = BYTE_VALUE[data]
+    values *= powers(len(data))
     np.cumsum(values, out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums), OTHER_BASE if other else BASE, -1)[starts])
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * powers(len(sums), sign=-1)[starts])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> list[np.ndarray]:
