@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from tessella.llm import decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, suffix_dedup, toxicity  # noqa: E402
+from tessella.llm import audit, decontam, jaccard, licenses, mixing, pii, quality, quality_rules, secrets, sharding, suffix_dedup, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -65,10 +65,12 @@ def operators(labels, benchmark, known):
         "pii": lambda d: pii.detect(d),
         "decontamination": lambda d: decontam.contamination(d, benchmark, reach=20),
         "rules": lambda d: quality_rules.verdicts(d, quality_rules.default_rules()).drop("text"),
+        "sharding": lambda d: sharding.plan(d, 3),
+        "audit": lambda d: audit.interactions(d, labels),
     }
 
 
-NAMES = ("quality", "suffix", "licenses", "secrets", "jaccard", "toxicity", "mixing", "pii", "decontamination", "rules")
+NAMES = ("quality", "suffix", "licenses", "secrets", "jaccard", "toxicity", "mixing", "pii", "decontamination", "rules", "sharding", "audit")
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -86,7 +88,7 @@ def test_empty_table_gives_an_empty_result(spark, none, labels, benchmark, name)
     assert operators(labels, benchmark, licenses.known_digests(spark))[name](none).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in ("suffix", "mixing", "jaccard")])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in ("suffix", "mixing", "jaccard", "audit")])
 def test_one_row_for_each_row(spark, docs, labels, benchmark, name):
     assert operators(labels, benchmark, licenses.known_digests(spark))[name](docs).count() == docs.count()
 
@@ -113,6 +115,5 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path, docs, none, l
     if stage != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == docs.columns
     kept = {r.doc_id for r in out.collect()}
-    # mixing takes no document that is longer than its source's budget
-    assert ({2} if stage == "mixing" else {2, 4}) <= kept
+    assert {2, 4} <= kept
     assert run(spark, none, str(tmp_path)).count() == 0
