@@ -204,12 +204,16 @@ def group_nesting_errors(group: DataFrame, member: DataFrame, node: DataFrame) -
 
 
 def inherited_contract(node: DataFrame, item: DataFrame) -> DataFrame:
-    """(model, id, section, texts): contract texts from the root down to the node; groups do not count; duplicates stay."""
-    own = item.select("model", F.col("owner_id").alias("ancestor"), "section", "pos", "text")
+    """(model, id, section, texts): contract texts from the root down to the node; groups do not count; duplicates stay.
+
+    An owner's texts are joined once, before they go to all below it.
+    """
+    listed = lambda of, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*of, text))), lambda x: x[text]), "|")
+    own = item.groupBy("model", F.col("owner_id").alias("ancestor"), "section").agg(
+        F.when(F.count("text") > 0, listed(["pos"], "text")).alias("text")
+    )
     rows = closure(node).join(own, ["model", "ancestor"])
-    return rows.groupBy("model", F.col("descendant").alias("id"), "section").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "pos", "text"))).alias("c")
-    ).select("model", "id", "section", F.array_join(F.transform("c", lambda x: x["text"]), "|").alias("texts"))
+    return rows.groupBy("model", F.col("descendant").alias("id"), "section").agg(listed([(-F.col("depth")).alias("d")], "text").alias("texts"))
 
 
 def inherited_notes(node: DataFrame, note: DataFrame) -> DataFrame:

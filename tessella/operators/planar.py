@@ -27,6 +27,8 @@ BLOCK = ["model", "view", "block"]
 NODE_CELL = math.hypot((180 + 80) / 300, (160 + 80) / 180)
 SHORTEST_EDGE = 1.2 * NODE_CELL
 LEAF_DISTANCE, LEAST_GAP = 1.8, 1.4
+# Clearance of a leaf from a face's other corners, push and pull, step, rounds and the move that ends them.
+CLEARANCE, PUSH, PULL, STEP, ROUNDS, STILL = 1.6, 0.5, 0.5, 0.15, 500, 0.0005
 
 
 def pairs(edge: DataFrame) -> DataFrame:
@@ -400,28 +402,102 @@ def leaf_faces(leaf: DataFrame, face: DataFrame) -> DataFrame:
     return picked.select(*VIEW, "id", *BLOCK[2:], "part", "face")
 
 
-def with_leaves(position: DataFrame, leaf: DataFrame, face: DataFrame, gap: float = LEAST_GAP) -> DataFrame:
+def _crossed(at: np.ndarray, links: np.ndarray) -> bool:
+    """Do two links without a common end cross."""
+    p, q = at[links[:, 0]], at[links[:, 1]]
+    turn = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
+    one = turn(p[:, None], q[:, None], p[None]) * turn(p[:, None], q[:, None], q[None])
+    apart = (links[:, None, :, None] != links[None, :, None, :]).all(axis=(2, 3))
+    return bool(((one < 0) & (one.T < 0) & apart).any())
+
+
+def ballooned(position: DataFrame, block: DataFrame, leaf: DataFrame, face: DataFrame) -> DataFrame:
+    """Block positions after faces too tight for their leaves have pushed their corners away.
+
+    Every corner of a face is pushed from the place where a leaf of another
+    corner will stand, and every link pulls back to its length before, until
+    nothing moves. In a block without crossings a step is shortened until it
+    makes none, and the last one is where no step can be made.
+    """
+    held = leaf_faces(leaf, face).join(leaf.select(*VIEW, "id", "parent"), [*VIEW, "id"]).select(*BLOCK, "part", "face", "parent").distinct()
+    tight = held.join(face.select(*BLOCK, "part", "face", F.col("id").alias("corner")), [*BLOCK, "part", "face"]).where("corner <> parent")
+    blocks_held = cut(held.select(*BLOCK).distinct())
+    row = lambda df, kind, a, b, x, y: df.select(*BLOCK, F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+    none = F.lit(None).cast("double")
+    group = F.concat_ws(" ", "part", "face", "parent")
+    rows = row(position, "node", "id", F.lit(None).cast("string"), F.col("x"), F.col("y")).unionByName(row(block, "link", "a", F.col("b"), none, none))
+    rows = rows.unionByName(row(tight.withColumn("_g", group), "tight", "corner", F.concat_ws("\x1f", "_g", "parent"), none, none)).join(blocks_held, BLOCK, "left_semi")
+
+    def swell(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf[pdf.kind == "node"].sort_values("a")
+        rank = {v: i for i, v in enumerate(node.a)}
+        start = node[["x", "y"]].to_numpy()
+        links = np.array([(rank[a], rank[b]) for a, b in pdf.loc[pdf.kind == "link", ["a", "b"]].itertuples(index=False)])
+        faces = [(rank[key.split("\x1f")[1]], np.array(sorted(rank[v] for v in f.a))) for key, f in pdf[pdf.kind == "tight"].groupby("b", sort=True)]
+        natural = np.linalg.norm(start[links[:, 1]] - start[links[:, 0]], axis=1)
+        at, flat = start.copy(), not _crossed(start, links)
+        for _ in range(ROUNDS):
+            force = np.zeros_like(at)
+            for parent, corners in faces:
+                aim = at[corners].mean(axis=0) - at[parent]
+                if (far := np.linalg.norm(aim)) < 0.001:
+                    continue
+                away = at[corners] - (at[parent] + LEAF_DISTANCE * aim / far)
+                dist = np.maximum(np.linalg.norm(away, axis=1), 1e-9)
+                force[corners] += away * (np.maximum(CLEARANCE - dist, 0) * PUSH / dist)[:, None]
+            span = at[links[:, 1]] - at[links[:, 0]]
+            now = np.maximum(np.linalg.norm(span, axis=1), 1e-9)
+            pull = span * ((now - natural) * PULL / now)[:, None]
+            np.add.at(force, links[:, 0], pull)
+            np.add.at(force, links[:, 1], -pull)
+            step = STEP
+            while flat and step > STEP / 1024 and _crossed(at + step * force, links):
+                step /= 2
+            if flat and _crossed(at + step * force, links):
+                break
+            at = at + step * force
+            at -= at.mean(axis=0)
+            if step * np.linalg.norm(force, axis=1).max() < STILL:
+                break
+        return pd.DataFrame({"id": list(node.a), "x": at[:, 0], "y": at[:, 1]}).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
+
+    moved = rows.groupBy(*BLOCK).applyInPandas(swell, "id string, x double, y double, model string, view string, block long").select(*BLOCK, "id", "x", "y")
+    return position.join(blocks_held, BLOCK, "left_anti").unionByName(moved)
+
+
+def leaf_directions(edge: DataFrame, leaf: DataFrame) -> DataFrame:
+    """(model, view, id, direction) of leaves: ``in`` if an edge goes to the parent, ``out`` if one comes from it, else ``both``."""
+    to = edge.select(*VIEW, F.col("source").alias("id"), F.col("target").alias("parent"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    of = edge.select(*VIEW, F.col("target").alias("id"), F.col("source").alias("parent"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ways = leaf.join(to.unionByName(of), [*VIEW, "id", "parent"]).groupBy(*VIEW, "id").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+    return ways.select(*VIEW, "id", F.when(F.col("up") + F.col("down") == 2, "both").when(F.col("up") == 1, "in").otherwise("out").alias("direction"))
+
+
+def with_leaves(position: DataFrame, leaf: DataFrame, face: DataFrame, direction: DataFrame, gap: float = LEAST_GAP) -> DataFrame:
     """(model, view, id, x, y): positions of the core and of all leaves around it.
 
     A leaf aims at the middle of its face, or away from the middle of the view,
     and takes the nearest free direction; where none is free it stands further
-    away. A tree begins with the node that stays, at (0, 0).
+    away. A tree begins with the node that stays, at (0, 0); around a node in the
+    middle, leaves with edges to it stand above, those with edges from it below,
+    those with both to the right.
     """
     where = leaf_faces(leaf, face).join(face.select(*BLOCK, "part", "face", F.col("id").alias("corner")), [*BLOCK, "part", "face"])
     spot = position.select(*VIEW, F.col("id").alias("corner"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     aims = where.join(spot, [*VIEW, "corner"]).groupBy(*VIEW, "id").agg(F.avg("_x").alias("x"), F.avg("_y").alias("y"))
-    rows = position.select(*VIEW, "id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("turn"), "x", "y")
-    rows = rows.unionByName(leaf.join(aims, [*VIEW, "id"], "left").select(*VIEW, "id", "parent", "turn", "x", "y"))
+    lean = F.when(F.col("direction") == "in", -math.pi / 2).when(F.col("direction") == "out", math.pi / 2).otherwise(0.0).alias("lean")
+    rows = position.select(*VIEW, "id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("turn"), F.lit(0.0).alias("lean"), "x", "y")
+    rows = rows.unionByName(leaf.join(aims, [*VIEW, "id"], "left").join(direction, [*VIEW, "id"], "left").select(*VIEW, "id", "parent", "turn", lean, "x", "y"))
 
     def fan(pdf: pd.DataFrame) -> pd.DataFrame:
         core, leaves = pdf[pdf.parent.isna()], pdf[pdf.parent.notna()].sort_values("turn", ascending=False)
         at = dict(zip(core.id, zip(core.x, core.y, strict=True), strict=True))
-        for v, above, x, y in leaves[["id", "parent", "x", "y"]].itertuples(index=False):
+        for v, above, lean, x, y in leaves[["id", "parent", "lean", "x", "y"]].itertuples(index=False):
             if above not in at:  # the node that stays of a tree, beside all others
                 at[above] = (max((p[0] for p in at.values()), default=-2 * gap) + 2 * gap, 0.0)
             here, others = at[above], np.array(list(at.values()))
             aim = np.array(here) - others.mean(axis=0) if math.isnan(x) else np.array([x, y]) - np.array(here)
-            turn, far = math.atan2(aim[1], aim[0]), LEAF_DISTANCE
+            turn, far = math.atan2(aim[1], aim[0]) if np.hypot(*aim) > 0.001 else lean, LEAF_DISTANCE
             spot = None
             while spot is None:
                 tries = (turn + (k + 1) // 2 * (-1) ** k * math.pi / 18 for k in range(36))
@@ -437,7 +513,8 @@ def planar_positions(edge: DataFrame) -> DataFrame:
     """(model, view, id, x, y): all nodes of a view that an edge touches, in cells.
 
     Leaves are taken off, the blocks of what is left are drawn without crossings
-    where that is possible, joined at their cut nodes, and the leaves put back.
+    where that is possible, widened where leaves need room, joined at their cut
+    nodes, and the leaves put back.
     """
     all_pairs = cut(pairs(edge))
     links = all_pairs.select(*VIEW, F.col("a").alias("source"), F.col("b").alias("target"))
@@ -446,4 +523,5 @@ def planar_positions(edge: DataFrame) -> DataFrame:
     core = links.join(gone, [*VIEW, "source"], "left_anti").join(gone.withColumnRenamed("source", "target"), [*VIEW, "target"], "left_anti")
     block = cut(blocks(core))
     face, _ = embedded(block)
-    return with_leaves(cut(stitched(block_positions(block))), leaf, face)
+    swollen = ballooned(cut(block_positions(block)), block, leaf, face)
+    return with_leaves(cut(stitched(swollen)), leaf, face, leaf_directions(edge, leaf))

@@ -14,6 +14,8 @@ def numbered_runs(rows: DataFrame, keys: list[str], order: list[str], chunk: Col
     ``chunk`` cuts each sequence into stretches by a value that never falls along
     ``order``. Rows are compared inside their stretch; of each stretch one row
     (its last ``carry`` columns and its number of beginnings) goes to the next.
+    All rows of one stretch meet in one task: choose a ``chunk`` that holds few,
+    or one made from ``places.numbered`` where values may crowd.
     """
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     over = Window.partitionBy(*keys).orderBy("_chunk")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessella.lineage import shared_dir
 from tessella.operators import diff, drift
+from tessella.sources import ignore, store
 from tessella.streaming import events as ev
 from tessella.streaming import live
 
@@ -217,3 +221,36 @@ def k7_single_session_live(f):
         F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "start").otherwise("done").alias("kind"),
     )
     return live.replayed(rows, live.accepted_starts).select("session_key", "seq", "accepted")
+
+
+@query("s13_visible_files", """lines AS (SELECT n_nationkey AS k, n_nationkey % 10 AS m, concat(CAST(n_nationkey AS STRING), '.rs') AS ending, n_nationkey % 4 <> 1 AS closes FROM nation),
+hits AS (SELECT path, max_by(closes, k) AS closes FROM file JOIN lines ON path LIKE concat('src/mod', CAST(m AS STRING), '/%') AND path LIKE concat('%', ending) GROUP BY path)
+SELECT path FROM file LEFT JOIN hits USING (path) WHERE path NOT LIKE 'src/mod7/%' AND NOT coalesce(closes, false)""")
+def s13_visible_files(f):
+    """One directory closed from above; in the others the last line that fits a file decides."""
+    folder = F.concat(F.lit("src/mod"), (F.col("n_nationkey") % 10).cast("string"), F.lit("/"))
+    line = F.concat(F.when(F.col("n_nationkey") % 4 == 1, "!").otherwise(""), F.lit("*"), F.col("n_nationkey").cast("string"), F.lit(".rs"))
+    told = f._source("nation").groupBy(folder.alias("dir")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("l"))
+    texts = told.select("dir", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    texts = texts.unionByName(texts.limit(1).select(F.lit("").alias("dir"), F.lit("# whole\nmod7/\n").alias("text")))
+    rules = ignore.rules(texts.select(F.lit("main").alias("model"), "dir", F.lit(len(ignore.KINDS) - 1).alias("kind"), "text"))
+    files = f["file"].select("model", "path", F.lit(False).alias("is_dir"))
+    above = files.select("model", F.explode(drift.directories(F.col("path"))).alias("path")).where("path <> ''").distinct()
+    entries = files.unionByName(above.select("model", F.regexp_replace("path", "/\\z", "").alias("path"), F.lit(True).alias("is_dir")))
+    return ignore.visible(entries, rules).where("NOT is_dir").select("path")
+
+
+@query("s12_store", """SELECT CASE s_suppkey % 5 WHEN 1 THEN regexp_replace(lower(concat('New ', s_name)), '[^a-z0-9_-]', '-', 'g') ELSE s_name END AS name, kind,
+ CASE WHEN s_suppkey % 5 = 2 AND kind = 'model' THEN concat('again ', CAST(s_nationkey AS STRING)) ELSE concat(kind, ' ', CAST(s_nationkey AS STRING)) END AS text
+FROM supplier, (SELECT unnest(['model', 'baseline']) AS kind) WHERE s_suppkey % 5 <> 0""")
+def s12_store(f):
+    """Documents created, written anew, renamed and deleted in a store, a commit each, and compacted."""
+    supplier = f._source("supplier").select("s_suppkey", F.col("s_name").alias("model"), F.col("s_nationkey").cast("string").alias("at"))
+    docs = supplier.select("s_suppkey", "model", "at", F.explode(F.array(F.lit("model"), F.lit("baseline"))).alias("kind"))
+    held = store.Store(f.spark, f"{shared_dir(f.spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    held.create(docs.select("model", "kind", F.concat_ws(" ", "kind", "at").alias("text")))
+    held.write(docs.where("kind = 'model' AND s_suppkey % 5 = 2").select("model", "kind", F.concat(F.lit("again "), "at").alias("text")))
+    held.rename(supplier.where("s_suppkey % 5 = 1").select(F.col("model").alias("old"), F.concat(F.lit(" New "), "model").alias("new")))
+    held.delete(supplier.where("s_suppkey % 5 = 0").select("model"))
+    held.compact()
+    return held.documents().withColumnRenamed("model", "name")

@@ -349,6 +349,11 @@ def documents(rel: dict[str, DataFrame], model: DataFrame) -> DataFrame:
     return out.select("model", _with(F.col("head"), *fields).alias("text"))
 
 
+# What a project's folder of models leaves out of version control, and the marks that go with a model.
+PROJECT_IGNORE = "*.baseline.scry\n.implementing\n.sync\n.tmp.*\n"
+MARKS = (".implementing", ".sync")
+
+
 def _put(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -368,17 +373,45 @@ def _put(folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     return put
 
 
-def write_documents(docs: DataFrame, folder: str) -> int:
+def write_documents(docs: DataFrame, folder: str, project: bool = False) -> int:
     """Write (model, text) as one file for each model and tell how many; ``folder`` is a URI or an absolute path.
 
     Tasks write each text beside its place and move it there in one step, so a
     reader sees the old document or the new one; a task that runs twice writes
-    the same. For commits over several documents, refusals and deletion see
-    ``store``.
+    the same. A ``project``'s folder gets an ignore file if it has none. For
+    commits over several documents and refusals see ``store``.
     """
+    if project:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        if files.get_file_info(f"{base}/.gitignore").type == fs.FileType.NotFound:
+            with files.open_output_stream(f"{base}/.gitignore") as file:
+                file.write(PROJECT_IGNORE.encode())
     return docs.select("model", "text").mapInPandas(_put(folder), "model string").count()
 
 
+def _delete(folder: str, marks: tuple[str, ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def delete(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for model in frame["model"]:
+                for name in (f"{model}{ENDING}", f"{model}.baseline{ENDING}", *marks):
+                    if files.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+                        files.delete_file(f"{base}/{name}")
+            yield frame
+
+    return delete
+
+
+def delete_documents(model: DataFrame, folder: str, project: bool = False) -> int:
+    """Delete the files of the named models and their baselines, and a ``project``'s marks; what is not there does no harm."""
+    return model.select("model").mapInPandas(_delete(folder, MARKS if project else ()), "model string").count()
+
+
 def snapshot(history: DataFrame | None, docs: DataFrame) -> DataFrame:
     """(model, version, text): the history with one more version of every model whose text changed."""
     if history is None:

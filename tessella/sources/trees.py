@@ -18,8 +18,8 @@ ROOT_FILES = (
 def inventory(spark: SparkSession, folder: str, model: str = "main") -> DataFrame:
     """(model, path, mtime_ns): files below a folder by path relative to it; contents are not read.
 
-    Ignore files of version control are not interpreted; noise and build
-    folders are taken out by ``kept_files``.
+    Noise and build folders are taken out by ``kept_files``. Hidden files are
+    not seen and ignore files not interpreted; ``ignore.scan`` does both.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/") + "/"

@@ -1,4 +1,4 @@
-"""Change events, the same code for batch and for Structured Streaming where it says so."""
+"""Change events in batch form; ``live`` has the streams. What says so is the same code for both."""
 
 from __future__ import annotations
 
@@ -21,11 +21,6 @@ def first_seen(event: DataFrame) -> DataFrame:
     return event.groupBy("path").agg(F.min("ts").alias("created"))
 
 
-def first_seen_stream(event: DataFrame) -> DataFrame:
-    """Each model's first event, never forgotten: the state grows with the number of models."""
-    return event.dropDuplicates(["path"])
-
-
 def debounced(event: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
     """(fires, path, events): one row for each burst, at the end of a quiet gap, with the last event's path. Batch.
 
@@ -70,28 +65,6 @@ def changed_content(event: DataFrame) -> DataFrame:
     ).drop("_last", "_first")
 
 
-def changed_content_stream(event: DataFrame) -> DataFrame:
-    """The streaming form of ``changed_content``: (path, seq, content), one remembered content for each path."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def keep(key, batches, state):
-        (last,) = state.get if state.exists else (None,)
-        known = state.exists
-        rows = pd.concat(list(batches)).sort_values("seq")
-        fresh = []
-        for r in rows.itertuples(index=False):
-            if not known or r.content != last:
-                fresh.append((key[0], r.seq, r.content))
-            last, known = r.content, True
-        state.update((last,))
-        yield pd.DataFrame(fresh, columns=["path", "seq", "content"])
-
-    return event.select("path", "seq", F.col("content").cast("string").alias("content")).groupBy("path").applyInPandasWithState(
-        keep, "path string, seq long, content string", "last string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def accepted_starts(event: DataFrame) -> DataFrame:
     """(model, session_key, seq, accepted): a start is refused while the session before it is not done. Batch.
 

@@ -139,7 +139,7 @@ def drain(stream: DataFrame, sink: Sink, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def replayed(event: DataFrame, run: Callable[[DataFrame], DataFrame], parts: int = 3) -> DataFrame:
+def replayed(event: DataFrame, run: Callable[[DataFrame], DataFrame], parts: int = 2) -> DataFrame:
     """What ``run`` tells of a table of events that arrives in ``parts`` by time, the stream stopped after each of them.
 
     A closing event of another model, a year later, lets the watermark pass all

@@ -112,6 +112,21 @@ def test_documents_of_a_folder_of_files(spark, store, tmp_path):
     assert sorted(p.name for p in (tmp_path / "files").iterdir()) == ["a.scry", "ü b.scry"]
 
 
+def test_project_folders(spark, tmp_path):
+    folder = tmp_path / "project"
+    one = spark.createDataFrame([("model", "{}")], "model string, text string")
+    model_files.write_documents(one, str(folder), project=True)
+    assert (folder / ".gitignore").read_text() == model_files.PROJECT_IGNORE
+    (folder / ".gitignore").write_text("mine\n")
+    model_files.write_documents(one, str(folder), project=True)
+    assert (folder / ".gitignore").read_text() == "mine\n"
+    for name in ("model.baseline.scry", ".implementing", ".sync", "other.scry"):
+        (folder / name).write_text("{}")
+    gone = spark.createDataFrame([("model",), ("nobody",)], "model string")
+    model_files.delete_documents(gone, str(folder), project=True)
+    assert sorted(p.name for p in folder.iterdir()) == [".gitignore", "other.scry"]
+
+
 def test_slug(spark):
     from pyspark.sql import functions as F
 
