@@ -290,14 +290,17 @@ class Repair:
     def summary(self) -> DataFrame:
         """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256): a row for each conversation.
 
-        A stretch's turns become one text; the texts of a conversation pass in
-        order through one hash, a batch at a time.
+        A stretch's turns become one text. Where it is the whole conversation, its
+        hash goes on instead of it; the texts of a longer one pass in order
+        through one hash, a batch at a time.
         """
         line = F.concat("role", F.lit(":"), "text")
         texts = self.turns().groupBy("conv", "stretch").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("text")
         )
         told = self.stretches.join(self.edits.select("conv", "stretch", "cost", "audit"), ["conv", "stretch"]).join(texts, ["conv", "stretch"], "left")
+        alone = F.col("last") & (F.col("stretch") == 0) & F.col("text").isNotNull()
+        told = told.withColumn("sha", F.when(alone, F.sha2(F.col("text").cast("binary"), 256))).withColumn("text", F.when(~alone, F.col("text")))
         told = told.repartition("conv").sortWithinPartitions("conv", "stretch").mapInArrow(_summed, SUMMARY)
         ids = self.rows.groupBy("conv").agg(F.first("conv_id").alias("conv_id"))
         return ids.join(told, "conv").drop("conv")
@@ -314,7 +317,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def closed() -> dict:
         span = 0 if now["low"] is None else now["high"] - now["low"] + 1 - now["distinct"]
-        return {n: now.get(n) for n in names} | {"gaps": span, "audit": "".join(now["audits"]), "repaired_sha256": now["hash"].hexdigest()}
+        return {n: now.get(n) for n in names} | {"gaps": span, "audit": "".join(now["audits"]), "repaired_sha256": now["sha"] or now["hash"].hexdigest()}
 
     for batch in batches:
         out = []
@@ -324,7 +327,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(closed())
                 now = {}
             if not now:
-                now = {"conv": r["conv"], "cost": r["cost"], "low": None, "high": None, "hash": hashlib.sha256(), "text": False, "audits": [], "end": ""}
+                now = {"conv": r["conv"], "cost": r["cost"], "low": None, "high": None, "sha": r["sha"], "hash": hashlib.sha256(), "text": False, "audits": [], "end": ""}
                 now |= dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "distinct"), 0)
             for n in ("blank", "duplicate", "truncated"):
                 now[n] += r[n]
