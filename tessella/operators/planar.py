@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.lineage import cut
+from tessella.grouped import each, one_by_one
+from tessella.lineage import cut, written
 
 from .layout import relaxed
+from .plane import block_lists, drawing, near_lists
 
 VIEW = ["model", "view"]
 BLOCK = ["model", "view", "block"]
@@ -33,58 +35,18 @@ CLEARANCE, PUSH, PULL, STEP, ROUNDS, STILL = 1.6, 0.5, 0.5, 0.15, 500, 0.0005
 
 def pairs(edge: DataFrame) -> DataFrame:
     """(model, view, a, b): each linked pair of a view once, without loops."""
-    return edge.where("source <> target").select(*VIEW, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-
-
-def _near(links: list[tuple]) -> dict:
-    near: dict = {}
-    for a, b in links:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    return near
-
-
-def block_lists(links: list[tuple]) -> list[list[tuple]]:
-    """The links of each biconnected block, from low points of a depth-first walk without recursion."""
-    near = _near(sorted(links))
-    seen: dict = {}
-    low: dict = {}
-    begin: dict = {}
-    out, trail = [], []
-    for root in sorted(near):
-        if root in seen:
-            continue
-        seen[root] = low[root] = len(seen)
-        walk = [(root, None, iter(near[root]))]
-        while walk:
-            v, above, rest = walk[-1]
-            u = next(rest, None)
-            if u is None:
-                walk.pop()
-                if above is not None:
-                    low[above] = min(low[above], low[v])
-                    if low[v] >= seen[above]:
-                        out.append([(min(e), max(e)) for e in trail[begin[v] :]])
-                        del trail[begin[v] :]
-            elif u not in seen:
-                seen[u] = low[u] = len(seen)
-                begin[u] = len(trail)
-                trail.append((v, u))
-                walk.append((u, v, iter(near[u])))
-            elif u != above and seen[u] < seen[v]:
-                trail.append((v, u))
-                low[v] = min(low[v], seen[u])
-    return sorted(sorted(b) for b in out)
+    return _ordered(edge).distinct()
+
+
+def _ordered(edge: DataFrame) -> DataFrame:
+    return edge.where("source <> target").select(*VIEW, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
 
 
 def blocks(edge: DataFrame) -> DataFrame:
     """(model, view, block, a, b): the links of each biconnected block; blocks of a view are numbered by their first link."""
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(k, a, b) for k, block in enumerate(block_lists(list(zip(pdf.a, pdf.b, strict=True)))) for a, b in block]
-        return pd.DataFrame(rows, columns=["block", "a", "b"]).assign(model=pdf.model.iloc[0], view=pdf["view"].iloc[0])
-
-    return pairs(edge).groupBy(*VIEW).applyInPandas(split, "block long, a string, b string, model string, view string").select(*BLOCK, "a", "b")
+    split = one_by_one(lambda links: [(k, a, b) for k, block in enumerate(block_lists(list(set(links)))) for a, b in block])
+    return each(_ordered(edge), VIEW, ["a", "b"], split, "block long, a string, b string")
 
 
 def block_nodes(block: DataFrame) -> DataFrame:
@@ -97,81 +59,6 @@ def block_counts(block: DataFrame) -> DataFrame:
     return block_nodes(block).groupBy(*VIEW, "id").agg(F.count("*").alias("n_blocks"))
 
 
-def _path(near: dict, start, inside: set, ends: set) -> list:
-    """A shortest path from ``start`` through one or more nodes of ``inside`` to one of ``ends``."""
-    back, line = {start: None}, deque([start])
-    while line:
-        v = line.popleft()
-        for u in near[v]:
-            if u in ends and v != start:
-                path = [u, v]
-                while (v := back[v]) is not None:
-                    path.append(v)
-                return path[::-1]
-            if u in inside and u not in back:
-                back[u] = v
-                line.append(u)
-    return []
-
-
-def _fragments(near: dict, drawn: set, lines: set) -> list[tuple[set, set]]:
-    """(inner nodes, nodes where it is fixed to what is drawn) of each part that is not drawn yet."""
-    out = [(set(), {a, b}) for a in sorted(drawn) for b in near[a] if a < b and b in drawn and (a, b) not in lines]
-    seen: set = set()
-    for v in sorted(near):
-        if v in drawn or v in seen:
-            continue
-        part, line = {v}, deque([v])
-        while line:
-            for u in near[line.popleft()]:
-                if u not in drawn and u not in part:
-                    part.add(u)
-                    line.append(u)
-        seen |= part
-        out.append((part, {u for w in part for u in near[w] if u in drawn}))
-    return out
-
-
-def face_lists(links: list[tuple]) -> tuple[list[list] | None, tuple | None]:
-    """(faces, None) of a planar block, (None, a link that found no face) of another.
-
-    A cycle is drawn first. Of what is not drawn, the part with the fewest faces
-    that hold all its fixed nodes gets a path drawn through one of them, which
-    splits that face in two; a part without such a face proves the block not
-    planar. All faces are walked in one sense, so each link is passed once in
-    each direction.
-    """
-    if len(links) == 1:
-        return [list(links[0])], None
-    near = _near(sorted(links))
-    a, b = min(links)
-    cycle = _path({v: [u for u in us if {u, v} != {a, b}] for v, us in near.items()}, a, set(near) - {a, b}, {b})
-    faces = [cycle, cycle[::-1]]
-    drawn = set(cycle)
-    lines = {(min(e), max(e)) for e in zip(cycle, cycle[1:] + cycle[:1], strict=True)}
-    while len(lines) < len(links):
-        best = None
-        for inner, fixed in _fragments(near, drawn, lines):
-            open_faces = [k for k, f in enumerate(faces) if fixed <= set(f)]
-            if best is None or len(open_faces) < len(best[2]):
-                best = (inner, fixed, open_faces)
-        inner, fixed, open_faces = best
-        start = min(fixed)
-        if not open_faces:
-            other = max(u for u in near[start] if u in inner or (not inner and u in fixed))
-            return None, (min(start, other), max(start, other))
-        path = _path(near, start, inner, fixed - {start}) if inner else [start, max(fixed)]
-        face = faces[open_faces[0]]
-        at = face.index(start)
-        face = face[at:] + face[:at]
-        to = face.index(path[-1])
-        faces[open_faces[0]] = face[: to + 1] + path[-2:0:-1]
-        faces.append(face[to:] + path[:-1])
-        drawn |= set(path)
-        lines |= {(min(e), max(e)) for e in zip(path, path[1:], strict=False)}
-    return faces, None
-
-
 def embedded(block: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Faces (model, view, block, part, face, place, id) and links that no drawing in the plane takes (model, view, block, a, b).
 
@@ -179,20 +66,12 @@ def embedded(block: DataFrame) -> tuple[DataFrame, DataFrame]:
     dropped until the rest is planar; the blocks of the rest are its parts.
     """
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, lost = list(zip(pdf.a, pdf.b, strict=True)), []
-        while True:
-            drawn = [face_lists(part) for part in block_lists(rest)]
-            bad = next((link for faces, link in drawn if faces is None), None)
-            if bad is None:
-                break
-            lost.append(bad)
-            rest.remove(bad)
-        rows = [(p, f, k, v) for p, (faces, _) in enumerate(drawn) for f, face in enumerate(faces) for k, v in enumerate(face)]
-        rows += [(-1, n, k, v) for n, link in enumerate(lost) for k, v in enumerate(link)]
-        return pd.DataFrame(rows, columns=["part", "face", "place", "id"]).assign(model=pdf.model.iloc[0], view=pdf["view"].iloc[0], block=pdf.block.iloc[0])
+    def draw(links: list[tuple]) -> list[tuple]:
+        parts, lost = drawing(links)
+        rows = [(p, f, k, v) for p, faces in enumerate(parts) for f, face in enumerate(faces) for k, v in enumerate(face)]
+        return rows + [(-1, n, k, v) for n, link in enumerate(lost) for k, v in enumerate(link)]
 
-    all_ = cut(block.groupBy(*BLOCK).applyInPandas(draw, "part int, face int, place int, id string, model string, view string, block long"))
+    all_ = written(each(block, BLOCK, ["a", "b"], one_by_one(draw), "part int, face int, place int, id string"), "faces")
     ends = all_.where("part < 0").groupBy(*BLOCK, "face").agg(F.min("id").alias("a"), F.max("id").alias("b")).drop("face")
     return all_.where("part >= 0").select(*BLOCK, "part", "face", "place", "id"), ends
 
@@ -216,6 +95,19 @@ def counts(face: DataFrame) -> DataFrame:
     return face.groupBy(*BLOCK, "part").agg(F.count_distinct("id").alias("nodes"), (F.count("*") / 2).cast("long").alias("links"), F.count_distinct("face").alias("faces"))
 
 
+def drawn_counts(edge: DataFrame) -> DataFrame:
+    """(model, view, block, part, nodes, links, faces, lost): :func:`counts` of all blocks of a view and the links that each block lost, without its corners as rows."""
+
+    def count(links: list[tuple]) -> list[tuple]:
+        rows = []
+        for k, block in enumerate(block_lists(list(set(links)))):
+            parts, lost = drawing(block)
+            rows += [(k, p, len({v for face in faces for v in face}), sum(map(len, faces)) // 2, len(faces), len(lost)) for p, faces in enumerate(parts)]
+        return rows
+
+    return each(_ordered(edge), VIEW, ["a", "b"], one_by_one(count), "block long, part int, nodes long, links long, faces long, lost long")
+
+
 def triangulated(face: DataFrame) -> DataFrame:
     """(model, view, block, part, face, place, id, outer): inner faces cut into triangles by chords that double no link.
 
@@ -367,7 +259,7 @@ def leaf_parents(edge: DataFrame) -> DataFrame:
     """(model, view, id, parent, turn): nodes with one neighbour are taken off, again and again; of a tree one node stays."""
 
     def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {v: set(us) for v, us in _near(list(zip(pdf.a, pdf.b, strict=True))).items()}
+        near = {v: set(us) for v, us in near_lists(list(zip(pdf.a, pdf.b, strict=True))).items()}
         line, rows = deque(sorted(v for v in near if len(near[v]) == 1)), []
         while line:
             v = line.popleft()

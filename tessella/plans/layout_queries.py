@@ -30,9 +30,7 @@ def l11_blocks(f):
 
 @query("l11_faces", None)
 def l11_faces(f):
-    face, lost = planar.embedded(planar.blocks(view_edges(f)))
-    left_out = lost.groupBy(*planar.BLOCK).agg(F.count("*").alias("lost"))
-    return planar.counts(face).join(left_out, planar.BLOCK, "left").select("view", "block", "part", "nodes", "links", "faces", F.coalesce("lost", F.lit(0)).alias("lost"))
+    return planar.drawn_counts(view_edges(f)).select("view", "block", "part", "nodes", "links", "faces", "lost")
 
 
 @query("l11_triangles", None)
