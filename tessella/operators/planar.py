@@ -20,7 +20,7 @@ from tessella.grouped import each, one_by_one
 from tessella.lineage import cut, written
 
 from .layout import relaxed
-from .plane import block_lists, drawing, near_lists
+from .plane import block_lists, drawing, near_lists, triangles
 
 VIEW = ["model", "view"]
 BLOCK = ["model", "view", "block"]
@@ -115,26 +115,34 @@ def triangulated(face: DataFrame) -> DataFrame:
     crossing chords of a face one is always new: both can't be links outside it.
     """
 
-    def cut_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [list(f.sort_values("place").id) for _, f in pdf.groupby("face", sort=True)]
-        outer = max(range(len(rings)), key=lambda k: (len(rings[k]), -k))
-        links = {frozenset(e) for r in rings for e in zip(r, r[1:] + r[:1], strict=True)}
-        out = [(rings[outer], True)]
-        for ring in rings[:outer] + rings[outer + 1 :]:
-            while len(ring) > 3:
-                chord = frozenset((ring[0], ring[2]))
-                if chord in links:
-                    ring = ring[1:] + ring[:1]
-                    continue
-                links.add(chord)
-                out.append((ring[:3], False))
-                ring = ring[:1] + ring[2:]
-            out.append((ring, False))
-        rows = [(f, k, v, o) for f, (ring, o) in enumerate(out) for k, v in enumerate(ring)]
-        return pd.DataFrame(rows, columns=["face", "place", "id", "outer"]).assign(**{c: pdf[c].iloc[0] for c in (*BLOCK, "part")})
-
-    kind = "face int, place int, id string, outer boolean, model string, view string, block long, part int"
-    return face.groupBy(*BLOCK, "part").applyInPandas(cut_up, kind).select(*BLOCK, "part", "face", "place", "id", "outer")
+    def cut_up(corners: list[tuple]) -> list[tuple]:
+        return [(f, k, v, o) for f, (ring, o) in enumerate(triangles(_rings(corners))) for k, v in enumerate(ring)]
+
+    kind = "face int, place int, id string, outer boolean"
+    return each(face, [*BLOCK, "part"], ["face", "place", "id"], one_by_one(cut_up), kind).select(*BLOCK, "part", "face", "place", "id", "outer")
+
+
+def _rings(corners: list[tuple]) -> list[list]:
+    """Ids of each face, in order, from its (face, place, id)."""
+    rings: dict = {}
+    for f, _, v in sorted(corners):
+        rings.setdefault(f, []).append(v)
+    return list(rings.values())
+
+
+def drawn_triangles(edge: DataFrame) -> DataFrame:
+    """(model, view, block, part, face, place, id, outer): :func:`triangulated` drawings of all blocks of a view, without its corners as rows in between."""
+
+    def cut_up(links: list[tuple]) -> list[tuple]:
+        return [
+            (b, p, f, k, v, o)
+            for b, block in enumerate(block_lists(list(set(links))))
+            for p, faces in enumerate(drawing(block)[0])
+            for f, (ring, o) in enumerate(triangles(faces))
+            for k, v in enumerate(ring)
+        ]
+
+    return each(_ordered(edge), VIEW, ["a", "b"], one_by_one(cut_up), "block long, part int, face int, place int, id string, outer boolean")
 
 
 def barycentric(triangle: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def l11_faces(f):
 
 @query("l11_triangles", None)
 def l11_triangles(f):
-    face, _ = planar.embedded(planar.blocks(view_edges(f)))
-    return planar.triangulated(face).select("view", "block", "part", "face", "place", "id", "outer")
+    return planar.drawn_triangles(view_edges(f)).select("view", "block", "part", "face", "place", "id", "outer")
 
 
 @query("l12_positions", None)

@@ -36,6 +36,17 @@ def test_counts_of_whole_views(edge):
     assert want.where("lost > 0").count() > 3
 
 
+def test_triangles_of_whole_views(edge):
+    want = planar.triangulated(planar.embedded(planar.blocks(edge))[0])
+    got = planar.drawn_triangles(edge)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_triangles_share_batches(spark):
+    assert "FlatMapGroupsInPandas" not in plan(catalog.queries()["l11_triangles"](spark, str(TABLES)))
+
+
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
 def test_faces_share_batches(spark):
     # a batch for each view or block took 12 ms
