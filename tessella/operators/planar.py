@@ -9,29 +9,19 @@ more than its block; a view holds what one screen shows.
 from __future__ import annotations
 
 import math
-from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.grouped import each, one_by_one
 from tessella.lineage import cut, written
 
-from .layout import relaxed
-from .plane import block_lists, drawing, near_lists, triangles
+from .plane import LEAF_DISTANCE, LEAST_GAP, SHORTEST_EDGE, block_lists, drawing, fanned, in_middle, joined, peeled, positions, ranked, relaxed_all, swollen_all, triangles
 
 VIEW = ["model", "view"]
 BLOCK = ["model", "view", "block"]
 
-# Node box with its margin in cells of 300 by 180, spread of the shortest edge, distance and least gap of leaves in cells.
-NODE_CELL = math.hypot((180 + 80) / 300, (160 + 80) / 180)
-SHORTEST_EDGE = 1.2 * NODE_CELL
-LEAF_DISTANCE, LEAST_GAP = 1.8, 1.4
-# Clearance of a leaf from a face's other corners, push and pull, step, rounds and the move that ends them.
-CLEARANCE, PUSH, PULL, STEP, ROUNDS, STILL = 1.6, 0.5, 0.5, 0.15, 500, 0.0005
-
 
 def pairs(edge: DataFrame) -> DataFrame:
     """(model, view, a, b): each linked pair of a view once, without loops."""
@@ -152,39 +142,24 @@ def barycentric(triangle: DataFrame) -> DataFrame:
     links cross. A single link lies flat. ``triangle`` has one part a block.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [list(f.sort_values("place").id) for _, f in pdf.groupby("face", sort=True)]
-        outer = list(pdf[pdf.outer].sort_values("place").id)
-        names = outer + sorted(set(pdf.id) - set(outer))
-        rank = {v: i for i, v in enumerate(names)}
-        n, fixed = len(names), len(outer)
-        turn = 2 * np.pi * np.arange(fixed) / fixed - np.pi / 2
-        at = np.zeros((n, 2))
-        at[:fixed] = max(2.0, 0.4 * n) * np.stack([np.cos(turn), np.sin(turn)], axis=1)
-        if fixed == 2:
-            at[:2] = [(0.0, 0.0), (2.0, 0.0)]
-        if n > fixed:
-            links = np.zeros((n, n))
-            for ring in rings:
-                for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-                    links[rank[a], rank[b]] = links[rank[b], rank[a]] = 1
-            pull = np.diag(links.sum(axis=1)) - links
-            at[fixed:] = np.linalg.solve(pull[fixed:, fixed:], links[fixed:, :fixed] @ at[:fixed])
-        return pd.DataFrame({"id": names, "x": at[:, 0], "y": at[:, 1]}).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
-
-    return triangle.groupBy(*BLOCK).applyInPandas(solve, "id string, x double, y double, model string, view string, block long").select(*BLOCK, "id", "x", "y")
+    def solve(corners: list[tuple]) -> list[tuple]:
+        outer = {f: o for f, _, _, o in corners}
+        names, at = in_middle(list(zip(_rings([c[:3] for c in corners]), (outer[f] for f in sorted(outer)), strict=True)))
+        return [(v, *p) for v, p in zip(names, at.tolist(), strict=True)]
+
+    return each(triangle, BLOCK, ["face", "place", "id", "outer"], one_by_one(solve), "id string, x double, y double")
 
 
 def stressed(block: DataFrame) -> DataFrame:
     """(model, view, block, id, x, y): blocks that are not planar, by stress on path lengths over all their links."""
 
-    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*pdf.a, *pdf.b})
-        rank = {v: i for i, v in enumerate(names)}
-        at = relaxed(len(names), np.array([(rank[a], rank[b]) for a, b in zip(pdf.a, pdf.b, strict=True)]))
-        return pd.DataFrame({"id": names, "x": at[:, 0], "y": at[:, 1]}).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
+    def relax(groups: list[list[tuple]]) -> list[list[tuple]]:
+        links = [sorted(g) for g in groups]
+        names = [sorted({v for e in g for v in e}) for g in links]
+        spots = relaxed_all([(len(n), ranked(n, g)) for n, g in zip(names, links, strict=True)])
+        return [[(v, *p) for v, p in zip(n, at.tolist(), strict=True)] for n, at in zip(names, spots, strict=True)]
 
-    return block.groupBy(*BLOCK).applyInPandas(relax, "id string, x double, y double, model string, view string, block long").select(*BLOCK, "id", "x", "y")
+    return each(block, BLOCK, ["a", "b"], relax, "id string, x double, y double")
 
 
 def spread(position: DataFrame, block: DataFrame, least: float = SHORTEST_EDGE) -> DataFrame:
@@ -205,10 +180,6 @@ def block_positions(block: DataFrame) -> DataFrame:
     return spread(flat.unionByName(stressed(block.join(bent, BLOCK, "left_semi"))), block)
 
 
-def _free(at: tuple[float, float], others: np.ndarray, gap: float) -> bool:
-    return not len(others) or float(np.hypot(others[:, 0] - at[0], others[:, 1] - at[1]).min()) >= gap
-
-
 def stitched(position: DataFrame, gap: float = LEAST_GAP) -> DataFrame:
     """(model, view, id, x, y): blocks joined at their cut nodes, along the tree that they form.
 
@@ -218,70 +189,19 @@ def stitched(position: DataFrame, gap: float = LEAST_GAP) -> DataFrame:
     Parts stand side by side.
     """
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = {k: dict(zip(b.id, zip(b.x, b.y, strict=True), strict=True)) for k, b in pdf.groupby("block", sort=True)}
-        holds: dict = {}
-        for k, nodes in shape.items():
-            for v in nodes:
-                holds.setdefault(v, []).append(k)
-        done, out, right = set(), {}, 0.0
-        for anchor in sorted(shape, key=lambda k: (-len(shape[k]), k)):
-            if anchor in done:
-                continue
-            at, line = dict(shape[anchor]), deque([anchor])
-            done.add(anchor)
-            while line:
-                for v in sorted(shape[line.popleft()]):
-                    for k in (k for k in holds[v] if k not in done):
-                        done.add(k)
-                        line.append(k)
-                        at |= _hung(at, shape[k], v, gap)
-            xs = [x for x, _ in at.values()]
-            out |= {v: (x - min(xs) + right, y) for v, (x, y) in at.items()}
-            right += max(xs) - min(xs) + 2 * gap
-        return pd.DataFrame([(v, *p) for v, p in sorted(out.items())], columns=["id", "x", "y"]).assign(**{c: pdf[c].iloc[0] for c in VIEW})
-
-    return position.groupBy(*VIEW).applyInPandas(join, "id string, x double, y double, model string, view string").select(*VIEW, "id", "x", "y")
-
-
-def _hung(at: dict, shape: dict, v, gap: float) -> dict:
-    """The nodes of a block but ``v``, hung at the place of ``v`` clear of what is placed."""
-    names = [u for u in shape if u != v]
-    own = np.array([shape[u] for u in names]) - np.array(shape[v])
-    rest = np.array([p for u, p in at.items() if u != v])
-    here = np.array(at[v])
-    out, lean = here - np.mean(list(at.values()), axis=0), own.mean(axis=0)
-    turn = math.atan2(out[1], out[0]) - math.atan2(lean[1], lean[0])
-    scale = 1.0
-    while True:
-        for k in range(24):  # outward first, then by turns to both sides
-            angle = turn + (k + 1) // 2 * (-1) ** k * math.pi / 12
-            c, s = math.cos(angle), math.sin(angle)
-            spots = here + scale * own @ np.array([[c, s], [-s, c]])
-            if all(_free(tuple(p), rest, gap) for p in spots):
-                return dict(zip(names, map(tuple, spots.tolist()), strict=True))
-        scale *= 1.25
+    def join(spots: list[tuple]) -> list[tuple]:
+        shape: dict = {}
+        for k, v, x, y in sorted(spots):
+            shape.setdefault(k, {})[v] = (x, y)
+        return [(v, *p) for v, p in sorted(joined(list(shape.values()), gap).items())]
+
+    return each(position, VIEW, ["block", "id", "x", "y"], one_by_one(join), "id string, x double, y double")
 
 
 def leaf_parents(edge: DataFrame) -> DataFrame:
     """(model, view, id, parent, turn): nodes with one neighbour are taken off, again and again; of a tree one node stays."""
 
-    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = {v: set(us) for v, us in near_lists(list(zip(pdf.a, pdf.b, strict=True))).items()}
-        line, rows = deque(sorted(v for v in near if len(near[v]) == 1)), []
-        while line:
-            v = line.popleft()
-            if len(near[v]) != 1:
-                continue
-            (above,) = near.pop(v)
-            near[above].discard(v)
-            rows.append((v, above, len(rows)))
-            if len(near[above]) == 1:
-                line.append(above)
-            near[v] = set()
-        return pd.DataFrame(rows, columns=["id", "parent", "turn"]).assign(**{c: pdf[c].iloc[0] for c in VIEW})
-
-    return pairs(edge).groupBy(*VIEW).applyInPandas(peel, "id string, parent string, turn long, model string, view string").select(*VIEW, "id", "parent", "turn")
+    return each(_ordered(edge), VIEW, ["a", "b"], one_by_one(lambda links: peeled(list(set(links)))), "id string, parent string, turn long")
 
 
 def leaf_faces(leaf: DataFrame, face: DataFrame) -> DataFrame:
@@ -302,15 +222,6 @@ def leaf_faces(leaf: DataFrame, face: DataFrame) -> DataFrame:
     return picked.select(*VIEW, "id", *BLOCK[2:], "part", "face")
 
 
-def _crossed(at: np.ndarray, links: np.ndarray) -> bool:
-    """Do two links without a common end cross."""
-    p, q = at[links[:, 0]], at[links[:, 1]]
-    turn = lambda a, b, c: (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
-    one = turn(p[:, None], q[:, None], p[None]) * turn(p[:, None], q[:, None], q[None])
-    apart = (links[:, None, :, None] != links[None, :, None, :]).all(axis=(2, 3))
-    return bool(((one < 0) & (one.T < 0) & apart).any())
-
-
 def ballooned(position: DataFrame, block: DataFrame, leaf: DataFrame, face: DataFrame) -> DataFrame:
     """Block positions after faces too tight for their leaves have pushed their corners away.
 
@@ -328,40 +239,20 @@ def ballooned(position: DataFrame, block: DataFrame, leaf: DataFrame, face: Data
     rows = row(position, "node", "id", F.lit(None).cast("string"), F.col("x"), F.col("y")).unionByName(row(block, "link", "a", F.col("b"), none, none))
     rows = rows.unionByName(row(tight.withColumn("_g", group), "tight", "corner", F.concat_ws("\x1f", "_g", "parent"), none, none)).join(blocks_held, BLOCK, "left_semi")
 
-    def swell(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = pdf[pdf.kind == "node"].sort_values("a")
-        rank = {v: i for i, v in enumerate(node.a)}
-        start = node[["x", "y"]].to_numpy()
-        links = np.array([(rank[a], rank[b]) for a, b in pdf.loc[pdf.kind == "link", ["a", "b"]].itertuples(index=False)])
-        faces = [(rank[key.split("\x1f")[1]], np.array(sorted(rank[v] for v in f.a))) for key, f in pdf[pdf.kind == "tight"].groupby("b", sort=True)]
-        natural = np.linalg.norm(start[links[:, 1]] - start[links[:, 0]], axis=1)
-        at, flat = start.copy(), not _crossed(start, links)
-        for _ in range(ROUNDS):
-            force = np.zeros_like(at)
-            for parent, corners in faces:
-                aim = at[corners].mean(axis=0) - at[parent]
-                if (far := np.linalg.norm(aim)) < 0.001:
-                    continue
-                away = at[corners] - (at[parent] + LEAF_DISTANCE * aim / far)
-                dist = np.maximum(np.linalg.norm(away, axis=1), 1e-9)
-                force[corners] += away * (np.maximum(CLEARANCE - dist, 0) * PUSH / dist)[:, None]
-            span = at[links[:, 1]] - at[links[:, 0]]
-            now = np.maximum(np.linalg.norm(span, axis=1), 1e-9)
-            pull = span * ((now - natural) * PULL / now)[:, None]
-            np.add.at(force, links[:, 0], pull)
-            np.add.at(force, links[:, 1], -pull)
-            step = STEP
-            while flat and step > STEP / 1024 and _crossed(at + step * force, links):
-                step /= 2
-            if flat and _crossed(at + step * force, links):
-                break
-            at = at + step * force
-            at -= at.mean(axis=0)
-            if step * np.linalg.norm(force, axis=1).max() < STILL:
-                break
-        return pd.DataFrame({"id": list(node.a), "x": at[:, 0], "y": at[:, 1]}).assign(**{c: pdf[c].iloc[0] for c in BLOCK})
-
-    moved = rows.groupBy(*BLOCK).applyInPandas(swell, "id string, x double, y double, model string, view string, block long").select(*BLOCK, "id", "x", "y")
+    def swell(groups: list[list[tuple]]) -> list[list[tuple]]:
+        names, parts = [], []
+        for g in groups:
+            node = sorted((r[1], r[3], r[4]) for r in g if r[0] == "node")
+            names.append([v for v, _, _ in node])
+            rank = {v: k for k, v in enumerate(names[-1])}
+            faces: dict = {}
+            for _, corner, key, _, _ in (r for r in g if r[0] == "tight"):
+                faces.setdefault(key, []).append(rank[corner])
+            tight = [(rank[key.split("\x1f")[1]], np.array(sorted(corners))) for key, corners in sorted(faces.items())]
+            parts.append((np.array([p for _, *p in node]), ranked(names[-1], sorted(r[1:3] for r in g if r[0] == "link")), tight))
+        return [[(v, *p) for v, p in zip(n, at.tolist(), strict=True)] for n, at in zip(names, swollen_all(parts), strict=True)]
+
+    moved = each(rows, BLOCK, ["kind", "a", "b", "x", "y"], swell, "id string, x double, y double")
     return position.join(blocks_held, BLOCK, "left_anti").unionByName(moved)
 
 
@@ -389,24 +280,12 @@ def with_leaves(position: DataFrame, leaf: DataFrame, face: DataFrame, direction
     rows = position.select(*VIEW, "id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("turn"), F.lit(0.0).alias("lean"), "x", "y")
     rows = rows.unionByName(leaf.join(aims, [*VIEW, "id"], "left").join(direction, [*VIEW, "id"], "left").select(*VIEW, "id", "parent", "turn", lean, "x", "y"))
 
-    def fan(pdf: pd.DataFrame) -> pd.DataFrame:
-        core, leaves = pdf[pdf.parent.isna()], pdf[pdf.parent.notna()].sort_values("turn", ascending=False)
-        at = dict(zip(core.id, zip(core.x, core.y, strict=True), strict=True))
-        for v, above, lean, x, y in leaves[["id", "parent", "lean", "x", "y"]].itertuples(index=False):
-            if above not in at:  # the node that stays of a tree, beside all others
-                at[above] = (max((p[0] for p in at.values()), default=-2 * gap) + 2 * gap, 0.0)
-            here, others = at[above], np.array(list(at.values()))
-            aim = np.array(here) - others.mean(axis=0) if math.isnan(x) else np.array([x, y]) - np.array(here)
-            turn, far = math.atan2(aim[1], aim[0]) if np.hypot(*aim) > 0.001 else lean, LEAF_DISTANCE
-            spot = None
-            while spot is None:
-                tries = (turn + (k + 1) // 2 * (-1) ** k * math.pi / 18 for k in range(36))
-                spot = next((p for a in tries if _free(p := (here[0] + far * math.cos(a), here[1] + far * math.sin(a)), others, gap)), None)
-                far *= 1.25
-            at[v] = spot
-        return pd.DataFrame([(v, *p) for v, p in sorted(at.items())], columns=["id", "x", "y"]).assign(**{c: pdf[c].iloc[0] for c in VIEW})
-
-    return rows.groupBy(*VIEW).applyInPandas(fan, "id string, x double, y double, model string, view string").select(*VIEW, "id", "x", "y")
+    def fan(spots: list[tuple]) -> list[tuple]:
+        core = {v: (x, y) for v, above, _, _, x, y in sorted(spots, key=lambda r: r[0]) if above is None}
+        leaves = sorted((r for r in spots if r[1] is not None), key=lambda r: -r[2])
+        return [(v, *p) for v, p in sorted(fanned(core, [(v, above, lean, *(math.nan if c is None else c for c in p)) for v, above, _, lean, *p in leaves], gap).items())]
+
+    return each(rows, VIEW, ["id", "parent", "turn", "lean", "x", "y"], one_by_one(fan), "id string, x double, y double")
 
 
 def planar_positions(edge: DataFrame) -> DataFrame:
@@ -414,14 +293,7 @@ def planar_positions(edge: DataFrame) -> DataFrame:
 
     Leaves are taken off, the blocks of what is left are drawn without crossings
     where that is possible, widened where leaves need room, joined at their cut
-    nodes, and the leaves put back.
+    nodes, and the leaves put back: the steps above, for whole views at once.
     """
-    all_pairs = cut(pairs(edge))
-    links = all_pairs.select(*VIEW, F.col("a").alias("source"), F.col("b").alias("target"))
-    leaf = cut(leaf_parents(links))
-    gone = leaf.select(*VIEW, F.col("id").alias("source"))
-    core = links.join(gone, [*VIEW, "source"], "left_anti").join(gone.withColumnRenamed("source", "target"), [*VIEW, "target"], "left_anti")
-    block = cut(blocks(core))
-    face, _ = embedded(block)
-    swollen = ballooned(cut(block_positions(block)), block, leaf, face)
-    return with_leaves(cut(stitched(swollen)), leaf, face, leaf_directions(edge, leaf))
+    ends = edge.where("source <> target").select(*VIEW, "source", "target")
+    return each(ends, VIEW, ["source", "target"], positions, "id string, x double, y double")
