@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.lineage import written
+
 #: Directories that scans leave out.
 SKIP_DIRS = ("node_modules", ".git", ".next", "__pycache__", ".direnv", ".venv", ".turbo", ".cache", ".nuxt", ".output", ".svelte-kit", ".parcel-cache", ".webpack", "vendor")
 SKIP_BUILD_DIRS = ("dist", "build", "out", "target", ".build", "bin", "obj", "pkg")
@@ -30,16 +32,31 @@ def directories(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
 
 
+#: Rows of one pattern that meet in a task: so many files and so many source-map rows.
+PORTION = 4096
+
+
 def glob_join(source_map: DataFrame, file: DataFrame) -> DataFrame:
     """Pairs of source-map rows and files that their pattern matches.
 
     A pattern's literal directory prefix is an equi-join key against all
-    directories above a file, so the regular expression is only tried inside it.
+    directories above a file, so the regular expression is only tried inside it,
+    and once for all rows with the pattern. These and its files meet in squares
+    of about ``PORTION`` by ``PORTION``, so that a pattern with many of both is
+    spread over tasks.
     """
-    patterns = source_map.select("*", F.regexp_extract("pattern", "^((?:[^*?\\[/]*/)*)", 1).alias("_dir"), glob_regex(F.col("pattern")).alias("_regex"))
+    keys = [c for c in ("model",) if c in source_map.columns and c in file.columns]
+    side = [*keys, "pattern"]
+    patterns = source_map.select(*side).distinct().select("*", F.regexp_extract("pattern", "^((?:[^*?\\[/]*/)*)", 1).alias("_dir"), glob_regex(F.col("pattern")).alias("_regex"))
     placed = file.select("*", F.explode(directories(F.col("path"))).alias("_dir"))
-    keys = ["_dir"] + (["model"] if "model" in source_map.columns and "model" in file.columns else [])
-    return patterns.join(placed, keys).where(F.expr("path RLIKE _regex")).drop("_dir", "_regex")
+    hit = written(patterns.join(placed, ["_dir", *keys]).where(F.expr("path RLIKE _regex")).drop("_dir", "_regex"), "hits")
+    portions = lambda df, name: df.groupBy(*side).agg(F.ceil(F.count("*") / PORTION).alias(name))
+    sizes = portions(source_map, "_rows").join(portions(hit, "_files"), side)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n))
+    rows = source_map.join(sizes, side).select(*source_map.columns, one("_rows", *source_map.columns).alias("_row"), every("_files").alias("_file"))
+    files = hit.join(sizes, side).select(*hit.columns, one("_files", "path").alias("_file"), every("_rows").alias("_row"))
+    return rows.join(files, [*side, "_row", "_file"]).select(*keys, *[c for df in (source_map, file) for c in df.columns if c not in keys])
 
 
 def source_drift(source_map: DataFrame, file: DataFrame, node: DataFrame, since: Column) -> DataFrame:
